@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe
+from siftline.llm import bpe, lines
 
-MODULES = [bpe]
+MODULES = [bpe, lines]
 
 
 def queries() -> dict:
