@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, lines
+from siftline.llm import bpe, lines, simhash
 
-MODULES = [bpe, lines]
+MODULES = [bpe, lines, simhash]
 
 
 def queries() -> dict:
