@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, lines, simhash
+from siftline.llm import bpe, fingerprints, lines, simhash
 
-MODULES = [bpe, lines, simhash]
+MODULES = [bpe, fingerprints, lines, simhash]
 
 
 def queries() -> dict:
