@@ -55,7 +55,7 @@ def arrow_rows(
     The rows of a partition come one after another in the partition's order; results leave in
     batches of ``batch`` rows, so memory stays bounded by two batches.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = [c.strip().split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat() -> Iterator[tuple]:
