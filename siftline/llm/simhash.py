@@ -23,24 +23,31 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import arrow_rows, cut, table
+from siftline.llm.common import arrow_rows, cut, row_key, table
 from siftline.llm.graph import components
 
 BLOCKS, BLOCK_BITS = 4, 16
+SKETCH = 64
 #: A byte's bits, each in a byte lane of a 64-bit word: 255 such words add up without a carry.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprint(text: str | None, shingle_words: int = 3) -> int:
-    """The 64-bit fingerprint of a text's word shingles; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; of all its words if they are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     spans = map(slice, starts, ends[shingle_words - 1 :].tolist() or [len(joined)])
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, spans), repeat(42)), dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, spans), repeat(42)), dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if over half of the hashes have it set; 0 of no hashes."""
+    if not len(hashes):
+        return 0
     lanes = LANES[hashes.view(np.uint8).reshape(-1, 8)]
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(lanes), 255):
@@ -48,6 +55,19 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle_words: int = 3) -> int:
+    """The 64-bit fingerprint of a text's word shingles; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle_words))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each of ``SKETCH`` ranges of hashes, a byte of the least hash in it; 0 where there is none."""
+    out = np.zeros(SKETCH, dtype=np.uint8)
+    mixed = np.unique(hashes * np.uint64(0x9E3779B97F4A7C15))[::-1]
+    out[(mixed >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)] = mixed % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
 def fingerprints(
     docs: DataFrame, shingle_words: int = 3, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -177,6 +197,104 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[moved], values[root[moved]]
 
 
+def similar_texts(
+    docs: DataFrame,
+    radius: int = 16,
+    similarity: float = 0.8,
+    shingle_words: int = 5,
+    tiles: int = 16,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """``k``, ``keeper``: for each different row (``common.row_key``) the row that stays for its group.
+
+    Rows are linked if their fingerprints differ in ``radius`` bits or fewer and the estimate of the
+    Jaccard similarity of their shingles, from sketches of ``SKETCH`` bytes, is no more than one
+    standard error below ``similarity``. A group is what links join, directly or not; the smallest
+    id stays, of rows with the same id any one, null ids last. Rows without words are all alike.
+
+    Radii this wide leave little to skip: the work grows with the square of the number of
+    different fingerprints, in tiles of sorted population counts. No tile pair leaves the task that
+    compares it, and what is shuffled grows with the rows as long as ``tiles`` can stay the same;
+    past a million fingerprints a tile there are more tiles.
+    """
+
+    def rows(source: Iterator[tuple]) -> Iterator[tuple]:
+        for key, place, text in source:
+            hashes = shingle_hashes(text, shingle_words)
+            fp = majority(hashes)
+            yield key, place, fp - (fp >> 63 << 64), sketch(hashes)
+
+    narrow = docs.select(row_key(id_column, text_column).alias("k"), F.col(id_column).cast("long").alias("id"), F.col(text_column))
+    prints = cut(
+        arrow_rows(narrow, rows, "k bigint, id bigint, fp bigint, sketch binary", [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
+    )
+    # Texts with the same fingerprint and sketch are one text here.
+    texts = prints.groupBy("fp", "sketch").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("first"))
+    texts = cut(texts.select(F.xxhash64("fp", "sketch").alias("text"), "fp", "sketch", "first"))
+    near = components(_similar_links(texts.select("text", "fp", "sketch"), radius, similarity, tiles))
+    rooted = texts.join(near.withColumnRenamed("node", "text"), "text", "left").withColumn("root", F.coalesce("root", "text"))
+    keepers = rooted.groupBy("root").agg(F.min("first")["k"].alias("keeper"))
+    named = rooted.join(keepers, "root").select(F.col("fp").alias("f"), F.col("sketch").alias("s"), "keeper")
+    return prints.join(named, (prints.fp == named.f) & (prints.sketch == named.s)).select("k", "keeper").distinct()
+
+
+def _similar_links(texts: DataFrame, radius: int, similarity: float, tiles: int) -> DataFrame:
+    tiles = max(tiles, -(-texts.count() // (1 << 20)))
+    spread = F.bit_count("fp").cast("long") * (1 << 20) + F.abs(F.xxhash64("text")) % (1 << 20)
+    cuts = texts.agg(F.percentile_approx(spread, [i / tiles for i in range(1, tiles)], 100 * tiles)).head()[0] or []
+    cuts = sorted(set(cuts))
+    tile = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < spread)) if cuts else F.lit(0)
+    least, most = [0, *(c >> 20 for c in cuts)], [*(c >> 20 for c in cuts), 64]
+    meets = [(i, j) for i in range(len(least)) for j in range(i, len(least)) if least[j] - most[i] <= radius]
+    pair = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in meets])
+    placed = texts.select("text", "fp", "sketch", tile.alias("t")).select(
+        "text", "fp", "sketch", "t", F.explode(F.filter(pair, lambda p: (p["i"] == F.col("t")) | (p["j"] == F.col("t")))).alias("p")
+    )
+    placed = placed.select("p.i", "p.j", (F.col("t") != F.col("p.i")).cast("int").alias("visits"), "fp", "text", "sketch")
+    together = placed.repartition(len(meets), "i", "j").sortWithinPartitions("i", "j", "visits")
+    margin = (similarity * (1 - similarity) / SKETCH) ** 0.5
+    return together.mapInArrow(partial(_compare_sketches, radius=radius, least=similarity - margin), "a bigint, b bigint").distinct()
+
+
+def _compare_sketches(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
+    """As ``_compare``; links carry the texts' keys and hold only where sketches are alike, too."""
+    meeting = None
+    own: list[tuple] = []
+    for batch in batches:
+        i, j, visits, fp, text = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
+        flat = b"".join(batch.column(5).to_pylist())
+        sketches = np.frombuffer(flat, dtype=np.uint8).reshape(-1, SKETCH)
+        fp = fp.astype(np.int64).view(np.uint64)
+        key = np.stack([i, j, visits])
+        begins = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
+        for lo, hi in zip([0, *begins.tolist()], [*begins.tolist(), batch.num_rows], strict=True):
+            if (i[lo], j[lo]) != meeting:
+                meeting, own = (i[lo], j[lo]), []
+            some = (fp[lo:hi], text[lo:hi], sketches[lo:hi])
+            if visits[lo] == 0:
+                own.append(some)
+            if visits[lo] == 1 or i[lo] == j[lo]:
+                for a, b in (x for other in own for x in _alike(some, other, radius, least)):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _alike(left: tuple, right: tuple, radius: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    step = max(1, (1 << 20) // len(right[0]))
+    for at in range(0, len(left[0]), step):
+        i, j = np.nonzero(np.bitwise_count(left[0][at : at + step, None] ^ right[0][None, :]) <= radius)
+        i += at
+        other = left[1][i] != right[1][j]
+        i, j = i[other], j[other]
+        for some in range(0, len(i), 1 << 18):
+            ii, jj = i[some : some + (1 << 18)], j[some : some + (1 << 18)]
+            x, y = left[2][ii], right[2][jj]
+            same = ((x == y) & (x > 0)).sum(axis=1)
+            ok = same >= least * ((x > 0) | (y > 0)).sum(axis=1)
+            if ok.any():
+                yield forest(left[1][ii[ok]], right[1][jj[ok]])
+
+
 def near_duplicates(
     docs: DataFrame,
     radius: int = 2,

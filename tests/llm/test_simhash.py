@@ -85,3 +85,27 @@ def test_components_of_a_long_chain(spark):
     odd = spark.createDataFrame([(500, 501), (501, 500), (600, 600), (None, 4)], "a bigint, b bigint")
     got = {r.node: r.root for r in components(chain.union(odd)).collect()}
     assert got == {**{i: 0 for i in range(301)}, 500: 500, 501: 500, 600: 600}
+
+
+def test_similar_texts_keep_one_of_each_group(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, family, i = [], {}, 0
+    for f in range(40):
+        base = [word() for _ in range(rng.randrange(150, 500))]
+        for copy in range(4 if f % 2 else 1):
+            words = list(base)
+            for _ in range(copy * len(words) // 150):
+                words[rng.randrange(len(words))] = word()
+            rows.append((i, " ".join(words)))
+            family[i] = f
+            i += 1
+    rows += [(900, None), (901, ""), (902, " \n"), (None, rows[0][1]), (903, "two words"), (904, "two words"), (904, "two words")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, k string, fp int")
+    found = simhash.similar_texts(docs)
+    keys = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k")).distinct()
+    kept = [r.doc_id for r in keys.join(found.where("k = keeper"), "k").collect()]
+    smallest = {f: min(i for i in family if family[i] == f) for f in set(family.values())}
+    assert sorted(kept) == sorted([*smallest.values(), 900, 903])
+    assert found.count() == keys.count()
+    assert simhash.similar_texts(docs.where("false")).count() == 0
