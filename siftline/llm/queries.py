@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, fingerprints, lines, repeats, simhash
+from siftline.llm import bpe, decontaminate, fingerprints, lines, repeats, simhash
 
-MODULES = [bpe, fingerprints, lines, repeats, simhash]
+MODULES = [bpe, decontaminate, fingerprints, lines, repeats, simhash]
 
 
 def queries() -> dict:
