@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, decontaminate, fingerprints, lines, repeats, simhash, toxicity
+from siftline.llm import bpe, decontaminate, fingerprints, lines, repeats, sharding, simhash, toxicity
 
-MODULES = [bpe, decontaminate, fingerprints, lines, repeats, simhash, toxicity]
+MODULES = [bpe, decontaminate, fingerprints, lines, repeats, sharding, simhash, toxicity]
 
 
 def queries() -> dict:
