@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, decontaminate, fingerprints, lines, repeats, sharding, simhash, toxicity
+from siftline.llm import bpe, decontaminate, fingerprints, lines, quality, repeats, sharding, simhash, tokencount, toxicity
 
-MODULES = [bpe, decontaminate, fingerprints, lines, repeats, sharding, simhash, toxicity]
+MODULES = [sharding, tokencount, quality, simhash, repeats, lines, fingerprints, decontaminate, toxicity, bpe]
 
 
 def queries() -> dict:
