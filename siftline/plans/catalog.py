@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import overview
+from siftline.plans import overview, state
 
-MODULES = [overview]
+MODULES = [overview, state]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
