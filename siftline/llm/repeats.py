@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ BLOCKS = (24, 1)
 CHUNK = 1 << 20
 
 PLACED = "a bigint, u1 bigint, u2 bigint, k bigint, lo int, hi int, at int"
+STORED = "a bigint, d bigint, k bigint, lo int, hi int, at int, data binary"
+STORED_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
 
 class Hashes:
@@ -252,30 +255,57 @@ def _marked(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``k``, ``id``, ``text`` with the text compressed, as it will be shuffled."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            some = batch.slice(at, 1024)
+            yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(map(pack, some.column(2).to_pylist()), type=pa.binary())], names=["k", "id", "packed"])
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    return texts.select("k", "id", "text").mapInArrow(_packed, "k bigint, id bigint, packed binary")
+
+
+def _sliced(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for key, data, wanted in rows:
+        text = zstandard.decompress(data)
+        for w in wanted:
+            yield w["a"], w["d"], key, w["lo"], w["hi"], w["at"], text[w["lo"] : w["hi"] + LENGTH]
+
+
 def repeated_starts(texts: DataFrame) -> DataFrame:
-    """``k``, ``lo``, ``hi``: neighbouring starts, in bytes, of repeated strings in rows ``k``, ``text`` (binary)."""
+    """``k``, ``lo``, ``hi``: neighbouring starts, in bytes, of repeated strings in rows ``k``, ``id``, ``text`` (binary)."""
     found: list[DataFrame] = []
     placed = texts.select("k", "text").mapInArrow(_placed, PLACED)
-    widths = iter(BLOCKS)
-    while True:
-        shared = placed.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        shared = cut(placed.join(shared, "a").select(*placed.columns))
+    stored = None
+    for width in (*BLOCKS, None):
+        # Written first, so that the join with the rows can split an anchor that many rows share.
+        common = cut(placed.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
+        shared = cut(placed.join(common, "a").select(*placed.columns))
         same = shared.groupBy("a", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "hi", "at")).alias("one"))
-        found.append(shared.join(same.where("n > 1").select("a", "u1", "u2"), ["a", "u1", "u2"]).select("k", "lo", "hi"))
+        found.append(shared.join(cut(same.where("n > 1").select("a", "u1", "u2")), ["a", "u1", "u2"]).select("k", "lo", "hi"))
         mixed = same.groupBy("a").agg(F.count("*").alias("d"), F.count_if(F.col("n") == 1).alias("single")).where("d > 1 AND single > 0")
-        open_ = cut(same.join(mixed, "a").select("a", "d", "one.*"))
-        fetched = open_.join(texts, "k").select(
-            "a", "k", "lo", "hi", "at", F.substring(F.col("text"), F.col("lo") + 1, F.col("hi") - F.col("lo") + LENGTH).alias("data"), "d"
-        )
+        open_ = same.join(mixed, "a").select("a", "d", "one.*")
+        if stored is None:
+            wanted = open_.groupBy("k").agg(F.collect_list(F.struct("a", "d", "lo", "hi", "at")).alias("wanted"))
+            fetched = arrow_rows(packed(texts).join(wanted, "k").select("k", "packed", "wanted"), _sliced, STORED, STORED_TYPES, 512)
+        else:
+            inner = stored.select("k", F.col("lo").alias("from"), F.col("hi").alias("upto"), F.col("data").alias("whole"))
+            fetched = (
+                open_.join(inner, "k")
+                .where("from <= lo AND hi <= upto")
+                .select("a", "d", "k", "lo", "hi", "at", F.substring(F.col("whole"), F.col("lo") - F.col("from") + 1, F.col("hi") - F.col("lo") + LENGTH).alias("data"))
+            )
+        fetched = cut(fetched)
         few = fetched.where(F.col("d") <= INDEXED).select("a", "k", "lo", "data")
         found.append(few.repartition("a").sortWithinPartitions("a").mapInArrow(_indexed, "k bigint, lo int, hi int"))
-        if open_.where(F.col("d") > INDEXED).isEmpty():
-            out = found[0]
-            for more in found[1:]:
-                out = out.union(more)
-            return out
-        many = fetched.where(F.col("d") > INDEXED).select("a", "k", "lo", "hi", "at", "data")
-        placed = many.mapInArrow(partial(_apart, width=next(widths)), PLACED)
+        stored = fetched.where(F.col("d") > INDEXED).select("a", "k", "lo", "hi", "at", "data")
+        if width is None or stored.isEmpty():
+            break
+        placed = stored.mapInArrow(partial(_apart, width=width), PLACED)
+    return reduce(DataFrame.union, found)
 
 
 def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -290,11 +320,12 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.col(id_column).cast("long").alias("id"),
         F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"),
     )
-    starts = repeated_starts(source.select("k", "text"))
+    starts = repeated_starts(source)
     by_row = starts.groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
 
     def rows(batch: Iterator[tuple]) -> Iterator[tuple]:
-        for key, text, ranges in batch:
+        for key, data, ranges in batch:
+            text = zstandard.decompress(data)
             spans: list[list[int]] = []
             for lo, hi in sorted((r["lo"], r["hi"] + LENGTH) for r in ranges or []):
                 if spans and lo <= spans[-1][1]:
@@ -305,7 +336,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             kept = b"".join(text[lo:hi] for lo, hi in zip(edges[::2], edges[1::2], strict=True))
             yield key, len(text), [{"lo": lo, "hi": hi} for lo, hi in spans], kept
 
-    joined = source.join(by_row, "k", "left").select("id", "text", "starts")
+    joined = packed(source).join(by_row, "k", "left").select("id", "packed", "starts")
     span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
     schema = "id bigint, n_bytes bigint, spans array<struct<lo:int,hi:int>>, kept binary"
     return arrow_rows(joined, rows, schema, [pa.int64(), pa.int64(), span, pa.binary()], 512)
