@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import overview, state
+from siftline.plans import overview, state, versions
 
-MODULES = [overview, state]
+MODULES = [overview, state, versions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
