@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import overview, state, versions
+from siftline.plans import overview, state, structure, texts, versions
 
-MODULES = [overview, state, versions]
+MODULES = [overview, state, versions, texts, structure]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
