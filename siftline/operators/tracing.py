@@ -9,12 +9,14 @@ flows into it; ranks only grow, so rounds end when no rank does.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.severity import VERDICTS, verdict_name, verdict_rank
-from siftline.functions.text import ant_to_regex
+from siftline.functions.text import ant_regex
 
 MOST_ROUNDS = 40
 
@@ -79,17 +81,15 @@ def inherited_methods(extends: DataFrame, methods: DataFrame, most: int = 20) ->
     return found
 
 
-def covered_paths(endpoints: DataFrame, devices: DataFrame) -> DataFrame:
-    """``covered`` for each endpoint: true, false, or null where no device is known at all.
+def covered(path: Column, devices: list[tuple[str, list[str], list[str]]]) -> Column:
+    """Whether a guard covers a path: one of its patterns fits and none of its exceptions; null without any guard.
 
-    ``devices``: ``device, includes array<string>, excludes array<string>``, Ant patterns. Rules are few and are
-    collected into one row of arrays, so that the patterns are matched within the row of an endpoint.
+    ``devices``: name, patterns and exceptions, which come from configuration and go into the expression.
     """
-    patterns = devices.select(F.transform("includes", ant_to_regex).alias("i"), F.transform("excludes", ant_to_regex).alias("x"))
-    listed = F.broadcast(patterns.agg(F.collect_list(F.struct("i", "x")).alias("devices")))
-    hit = lambda ps: F.exists(ps, lambda p: F.rlike(F.col("path"), p))
-    covered = F.exists("devices", lambda d: hit(d["i"]) & ~hit(d["x"]))
-    return endpoints.join(listed, F.lit(True), "left").select(*endpoints.columns, F.when(F.size("devices") > 0, covered).alias("covered"))
+    hit = lambda patterns: reduce(or_, [path.rlike(ant_regex(p)) for p in patterns], F.lit(False))
+    if not devices:
+        return F.lit(None).cast("boolean")
+    return reduce(or_, [hit(includes) & ~hit(excludes) for _, includes, excludes in devices])
 
 
 def rule_changes(drafted: DataFrame, current: DataFrame, dismissed: DataFrame) -> DataFrame:

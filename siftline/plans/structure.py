@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.operators.findings import smallest_enclosing, without_nested, without_same_cwe
-from siftline.operators.tracing import covered_paths, value_origins
+from siftline.operators.tracing import covered, value_origins
 from siftline.operators.trees import ancestors, causes, closure, pruned
 from siftline.sources.state import written
 from siftline.sources.tables import table
@@ -51,17 +51,11 @@ def q_nearest_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of parts: one for each brand, in order of keys, with depths from 1 to 4."""
     part = table(spark, sf_dir, "part")
-    position = F.row_number().over(__window())
+    position = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     depth = F.when(F.col("p_partkey") % 5 == 0, 1).when(F.col("p_partkey") % 3 == 0, 2).when(F.col("p_partkey") % 2 == 0, 3).otherwise(4)
     return part.select(F.col("p_brand").alias("tree"), position.alias("pos"), depth.alias("depth"), (F.col("p_partkey") % 40).cast("string").alias("coordinate"))
 
 
-def __window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("p_brand").orderBy("p_partkey")
-
-
 def q_tree_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causes(_tree(spark, sf_dir))
 
@@ -102,8 +96,8 @@ def q_value_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_path_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pages' paths a guard covers, by patterns with exceptions."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+(/.*)?$", 1).alias("path"))
-    devices = spark.createDataFrame([("login", ["/**"], ["/p/*1", "/*"]), ("admin", ["/**/*9*"], ["/x/**"])], "device string, includes array<string>, excludes array<string>")
-    return covered_paths(pages, devices).select("page_id", "covered")
+    devices = [("login", ["/**"], ["/p/*1", "/*"]), ("admin", ["/**/*9*"], ["/x/**"])]
+    return pages.select("page_id", covered(F.col("path"), devices).alias("covered"))
 
 
 QUERIES = {
@@ -168,6 +162,11 @@ ORACLES = {
         )
         SELECT start, node, min(depth) AS depth FROM w GROUP BY start, node
     """,
+    "q_path_coverage": r"""
+        WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/.*)?$', 1) AS path FROM pages)
+        SELECT page_id, (regexp_matches(path, '^(/.*)?$') AND NOT (regexp_matches(path, '^/p/[^/]*1$') OR regexp_matches(path, '^/[^/]*$')))
+            OR (regexp_matches(path, '^/(.*/)?[^/]*9[^/]*$') AND NOT regexp_matches(path, '^/x(/.*)?$')) AS covered FROM p
+    """,
     "q_value_origins": """
         WITH s AS (SELECT 's' || s_suppkey AS node, s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 4 THEN NULL ELSE 2 END AS r FROM supplier),
         o AS (SELECT 'o' || l_orderkey AS node, l_orderkey AS k, max(r) AS r FROM lineitem LEFT JOIN s ON s.k = l_suppkey GROUP BY l_orderkey),
