@@ -92,7 +92,8 @@ def maven_key(version: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def version_key(versions: pd.Series) -> pd.Series:
     """``maven_key`` for a column; each different version of a batch is read once."""
-    return versions.map({v: maven_key(v) for v in versions.dropna().unique()})
+    keys = {v: maven_key(v) for v in versions.dropna().unique()}
+    return pd.Series([keys.get(v) for v in versions], dtype=object)
 
 
 def with_version_keys(df: DataFrame, **keys: str) -> DataFrame:
