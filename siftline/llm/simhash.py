@@ -28,6 +28,12 @@ from siftline.llm.graph import components
 
 BLOCKS, BLOCK_BITS = 4, 16
 SKETCH = 64
+#: A sketch's permutations of hashes: products with odd numbers modulo 2^64.
+PERMUTATIONS = np.random.default_rng(4).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Candidates' estimates may lie so many standard errors below the similarity; the first ``GLANCE`` bytes are compared first.
+ERRORS, GLANCE = 5, 16
+#: Texts, and their shingles, that a part of a group of candidates has on average, at most.
+GROUP_TEXTS, GROUP_SHINGLES = 2048, 1 << 22
 #: A byte's bits, each in a byte lane of a 64-bit word: 255 such words add up without a carry.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -61,11 +67,13 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """For each of ``SKETCH`` ranges of hashes, a byte of the least hash in it; 0 where there is none."""
-    out = np.zeros(SKETCH, dtype=np.uint8)
-    mixed = np.unique(hashes * np.uint64(0x9E3779B97F4A7C15))[::-1]
-    out[(mixed >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)] = mixed % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+    """A byte, not 0, of the least hash under each of ``SKETCH`` permutations; zeros of no hashes."""
+    if not len(hashes):
+        return bytes(SKETCH)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * PERMUTATIONS).min(axis=0), out=least)
+    return (((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
 
 
 def fingerprints(
@@ -199,7 +207,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def similar_texts(
     docs: DataFrame,
-    radius: int = 16,
+    radius: int = 22,
     similarity: float = 0.8,
     shingle_words: int = 5,
     tiles: int = 16,
@@ -208,10 +216,11 @@ def similar_texts(
 ) -> DataFrame:
     """``k``, ``keeper``: for each different row (``common.row_key``) the row that stays for its group.
 
-    Rows are linked if their fingerprints differ in ``radius`` bits or fewer and the estimate of the
-    Jaccard similarity of their shingles, from sketches of ``SKETCH`` bytes, is no more than one
-    standard error below ``similarity``. A group is what links join, directly or not; the smallest
-    id stays, of rows with the same id any one, null ids last. Rows without words are all alike.
+    Rows are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more, by
+    exact count. Only candidates are counted: those that fingerprints of the sets within ``radius``
+    bits and sketches within ``ERRORS`` standard errors join, directly or not, are compared all with
+    all. A group is what links join, directly or not; the smallest id stays, of rows with the same
+    id any one, null ids last. Rows without words are all alike.
 
     Radii this wide leave little to skip: the work grows with the square of the number of
     different fingerprints, in tiles of sorted population counts. No tile pair leaves the task that
@@ -221,22 +230,22 @@ def similar_texts(
 
     def rows(source: Iterator[tuple]) -> Iterator[tuple]:
         for key, place, text in source:
-            hashes = shingle_hashes(text, shingle_words)
-            fp = majority(hashes)
-            yield key, place, fp - (fp >> 63 << 64), sketch(hashes)
-
-    narrow = docs.select(row_key(id_column, text_column).alias("k"), F.col(id_column).cast("long").alias("id"), F.col(text_column))
-    prints = cut(
-        arrow_rows(narrow, rows, "k bigint, id bigint, fp bigint, sketch binary", [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
-    )
-    # Texts with the same fingerprint and sketch are one text here.
-    texts = prints.groupBy("fp", "sketch").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("first"))
-    texts = cut(texts.select(F.xxhash64("fp", "sketch").alias("text"), "fp", "sketch", "first"))
-    near = components(_similar_links(texts.select("text", "fp", "sketch"), radius, similarity, tiles))
+            hashes = np.unique(shingle_hashes(text, shingle_words))
+            fp, same = majority(hashes), xxhash.xxh64_intdigest(hashes.tobytes())
+            yield key, place, same - (same >> 63 << 64), len(hashes), fp - (fp >> 63 << 64), sketch(hashes)
+
+    narrow = docs.select(row_key(id_column, text_column).alias("k"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    prints = cut(arrow_rows(narrow, rows, "k bigint, id bigint, text bigint, n bigint, fp bigint, sketch binary", types))
+    # Texts with the same set of shingles are one text here.
+    texts = prints.groupBy("text", "n", "fp", "sketch").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("first"))
+    texts = cut(texts)
+    candidates = components(_similar_links(texts.select("text", "fp", "sketch"), radius, similarity, tiles))
+    grouped = texts.select(F.col("text").alias("node"), "n", F.col("first.k").alias("k")).join(candidates, "node")
+    near = components(_exact_links(grouped, narrow.select("k", "text"), similarity, shingle_words))
     rooted = texts.join(near.withColumnRenamed("node", "text"), "text", "left").withColumn("root", F.coalesce("root", "text"))
     keepers = rooted.groupBy("root").agg(F.min("first")["k"].alias("keeper"))
-    named = rooted.join(keepers, "root").select(F.col("fp").alias("f"), F.col("sketch").alias("s"), "keeper")
-    return prints.join(named, (prints.fp == named.f) & (prints.sketch == named.s)).select("k", "keeper").distinct()
+    return prints.join(rooted.join(keepers, "root").select("text", "keeper"), "text").select("k", "keeper").distinct()
 
 
 def _similar_links(texts: DataFrame, radius: int, similarity: float, tiles: int) -> DataFrame:
@@ -253,7 +262,7 @@ def _similar_links(texts: DataFrame, radius: int, similarity: float, tiles: int)
     )
     placed = placed.select("p.i", "p.j", (F.col("t") != F.col("p.i")).cast("int").alias("visits"), "fp", "text", "sketch")
     together = placed.repartition(len(meets), "i", "j").sortWithinPartitions("i", "j", "visits")
-    margin = (similarity * (1 - similarity) / SKETCH) ** 0.5
+    margin = ERRORS * (similarity * (1 - similarity) / SKETCH) ** 0.5
     return together.mapInArrow(partial(_compare_sketches, radius=radius, least=similarity - margin), "a bigint, b bigint").distinct()
 
 
@@ -288,6 +297,8 @@ def _alike(left: tuple, right: tuple, radius: int, least: float) -> Iterator[tup
         i, j = i[other], j[other]
         for some in range(0, len(i), 1 << 18):
             ii, jj = i[some : some + (1 << 18)], j[some : some + (1 << 18)]
+            glance = (left[2][ii, :GLANCE] == right[2][jj, :GLANCE]).sum(axis=1) >= GLANCE // 4
+            ii, jj = ii[glance], jj[glance]
             x, y = left[2][ii], right[2][jj]
             same = ((x == y) & (x > 0)).sum(axis=1)
             ok = same >= least * ((x > 0) | (y > 0)).sum(axis=1)
@@ -295,6 +306,77 @@ def _alike(left: tuple, right: tuple, radius: int, least: float) -> Iterator[tup
                 yield forest(left[1][ii[ok]], right[1][jj[ok]])
 
 
+def _exact_links(grouped: DataFrame, docs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """``a``, ``b``: links that join all texts of a group of candidates (``node``, ``n``, ``k``, ``root``) that are alike, directly or not.
+
+    ``docs`` (``k``, ``text``) has the texts. A large group is dealt in parts, each of which meets each.
+    """
+    tiles = F.greatest(F.ceil(F.count("*") / GROUP_TEXTS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int")
+    large = grouped.groupBy("root").agg(tiles.alias("tiles")).where("tiles > 1")
+    placed = grouped.join(F.broadcast(large), "root", "left").select("k", "root", "node", F.coalesce("tiles", F.lit(1)).alias("tiles"))
+
+    def rows(source: Iterator[tuple]) -> Iterator[tuple]:
+        for root, tiles, node, text in source:
+            yield root, tiles, node, np.unique(shingle_hashes(text, shingle_words)).tobytes()
+
+    fetched = docs.join(placed, "k").select("root", "tiles", "node", "text")
+    sets = arrow_rows(fetched, rows, "root bigint, tiles int, node bigint, shingles binary", [pa.int64(), pa.int32(), pa.int64(), pa.binary()], 1024)
+    tile = F.pmod(F.xxhash64("node"), "tiles").cast("int")
+    met = sets.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    i, j = F.least("tile", "other"), F.greatest("tile", "other")
+    met = met.select("root", i.alias("i"), j.alias("j"), (F.col("tile") != i).cast("int").alias("visits"), "node", "shingles")
+    together = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "visits", "node")
+    return together.mapInArrow(partial(_compare_sets, similarity=similarity), "a bigint, b bigint")
+
+
+def _compare_sets(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Compares each part with itself or with its visitors; repeated rows come one after another and count once."""
+    meeting, sides = None, ([], [])
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if meeting and sides[0] and (sides[1] or meeting[1] == meeting[2]):
+            pairs = list(_exactly_alike(sides[0], sides[1], similarity))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["a", "b"])
+
+    for batch in batches:
+        for root, i, j, visits, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (root, i, j) != meeting:
+                yield from found()
+                meeting, sides = (root, i, j), ([], [])
+            if not sides[visits] or sides[visits][-1][0] != node:
+                sides[visits].append((node, np.frombuffer(shingles, dtype=np.uint64)))
+    yield from found()
+
+
+def _exactly_alike(own: list[tuple], visitors: list[tuple], similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of ``own`` and ``visitors`` (of ``own`` alone if there are none) that are alike."""
+    names = [name for name, _ in own + visitors]
+    sets = [x for _, x in own + visitors]
+    sizes = np.array([len(x) for x in sets])
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    held, group = np.zeros(len(values), dtype=bool), np.arange(len(sets))
+    for a in range(len(own)):
+        after = len(own) if visitors else a + 1
+        other = sizes[after:]
+        fit = np.minimum(other, sizes[a]) / np.maximum(other, sizes[a]) >= similarity
+        b = after + np.flatnonzero(fit & (group[after:] != group[a]))
+        if not len(b):
+            continue
+        held[ids[starts[a] : ends[a]]] = True
+        if sizes[b].sum() * 4 > ends[-1] - starts[after]:
+            common = np.add.reduceat(held[ids[starts[after] :]], starts[after:] - starts[after], dtype=np.int64)[b - after]
+        else:
+            common = np.array([np.count_nonzero(held[ids[starts[x] : ends[x]]]) for x in b])
+        held[ids[starts[a] : ends[a]]] = False
+        b = b[common / (sizes[b] + sizes[a] - common) >= similarity]
+        joined, one = np.unique(group[b], return_index=True)
+        group[np.isin(group, joined)] = group[a]
+        yield from ((names[a], names[x]) for x in b[one])
+
+
 def near_duplicates(
     docs: DataFrame,
     radius: int = 2,

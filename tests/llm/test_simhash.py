@@ -109,3 +109,38 @@ def test_similar_texts_keep_one_of_each_group(spark):
     assert sorted(kept) == sorted([*smallest.values(), 900, 903])
     assert found.count() == keys.count()
     assert simhash.similar_texts(docs.where("false")).count() == 0
+
+
+def test_similar_texts_are_exact_at_the_bound(spark):
+    rng = random.Random(12)
+    rows, alike = [], {}
+    for f in range(300):
+        # One end of a text differs: of n + d shingles n are shared, d = n / 4 at the bound, one more below it.
+        n = rng.choice([4, 8, 40, 200, 400])
+        extra = n // 4 + f % 2
+        words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n + 4 + extra)]
+        rows += [(2 * f, " ".join(words[: n + 4])), (2 * f + 1, " ".join(words))]
+        alike[2 * f + 1] = not f % 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keys = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"))
+    kept = {r.doc_id for r in keys.join(simhash.similar_texts(docs).where("k = keeper"), "k").collect()}
+    assert {i for i in alike if i not in kept} == {i for i in alike if alike[i]}
+
+
+def test_parts_of_a_group_find_the_same_links(spark, monkeypatch):
+    rng = random.Random(13)
+    rows, base = [], [f"w{i}" for i in range(120)]
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(w[x : x + 5]) for x in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    pairs = [(a, b) for a in sets for b in sets if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = slow_components(pairs)
+    assert 1 < len(set(want.values())) < 60
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = {r.k: r.doc_id for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    for size in (2048, 9):
+        monkeypatch.setattr(simhash, "GROUP_TEXTS", size)
+        assert {ids[r.k]: ids[r.keeper] for r in simhash.similar_texts(docs).collect()} == want
