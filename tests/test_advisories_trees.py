@@ -80,6 +80,13 @@ def test_dependency_trees(spark):
     assert sorted(map(tuple, trees.dependencies(lines, "value").collect())) == [("g", "a", "1.0"), ("g", "b", "2.0")]
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([*((i, i + 1) for i in range(53)), (53, 0), (9, 7)], "src int, dst int").coalesce(1)
+    got = trees.closure(edges, spark.createDataFrame([(0,), (50,)], "start int").coalesce(1), cut=state.written)
+    want = {(0, i): i for i in range(54)} | {(50, i): (i - 50) % 54 for i in range(54)}
+    assert {(r.start, r.node): r.depth for r in got.collect()} == want
+
+
 def test_origins_of_values(spark):
     flows = spark.createDataFrame([("x", "p"), ("x", "lit"), ("y", "x"), ("z", "lit"), ("u", "w"), ("w", "u"), ("v", "s")], "dst string, src string")
     origins = spark.createDataFrame([("p", "CLIENT", "parameter p"), ("lit", "SERVER_SET", None), ("s", "SESSION_OVERWRITE", "session")], "node string, verdict string, evidence string")
