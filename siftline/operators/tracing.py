@@ -18,20 +18,18 @@ from pyspark.sql import functions as F
 from siftline.functions.severity import VERDICTS, verdict_name, verdict_rank
 from siftline.functions.text import ant_regex
 
-MOST_ROUNDS = 40
 
-
-def value_origins(flows: DataFrame, origins: DataFrame, most: int = MOST_ROUNDS, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+def value_origins(flows: DataFrame, origins: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
     """``node, verdict, evidence`` (the steps from the value back to where its verdict comes from).
 
-    A value without any origin after ``most`` rounds is UNKNOWN. Of equally bad ways the shortest is the evidence, then
+    A value that no origin reaches is UNKNOWN. Of equally bad ways the shortest is the evidence, then
     the least source.
     """
     nodes = flows.select(F.col("dst").alias("node")).union(flows.select("src")).union(origins.select("node")).distinct()
     own = origins.select("node", verdict_rank(F.col("verdict")).alias("rank"), F.array(F.coalesce("evidence", "node")).alias("steps"))
     best = lambda df: df.groupBy("node").agg(F.min_by("steps", F.struct(-F.col("rank"), F.size("steps"), F.col("steps"))).alias("steps"), F.max("rank").alias("rank"))
     known = cut(best(own))
-    for _ in range(most):
+    while True:
         passed = flows.join(known.select(F.col("node").alias("src"), "rank", "steps"), "src").select(
             F.col("dst").alias("node"), "rank", F.concat(F.array("dst"), F.col("steps")).alias("steps")
         )

@@ -52,9 +52,9 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     """
     so_far = Window.partitionBy("tree").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     real = nodes.where("depth IS NOT NULL")
-    deepest = 32
+    deepest = real.agg(F.max("depth")).head()[0] or 1
     stack = [F.last(F.when(F.col("depth") <= d, F.when(F.col("depth") == d, F.col("pos")).otherwise(-1)), ignorenulls=True).over(so_far) for d in range(1, deepest + 1)]
-    path = F.filter(F.slice(F.array(*stack), F.lit(1), F.least("depth", F.lit(deepest))), lambda p: p >= 0)
+    path = F.filter(F.slice(F.array(*stack), F.lit(1), F.col("depth")), lambda p: p >= 0)
     return real.withColumn("path", path)
 
 

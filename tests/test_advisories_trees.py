@@ -98,6 +98,19 @@ def test_origins_of_values(spark):
     assert all(r.want == r.got for r in df.select("want", tracing.statement_verdict(F.col("d"), F.col("g"), F.col("f")).alias("got")).collect())
 
 
+def test_origins_of_values_far_away(spark):
+    flows = spark.createDataFrame([*((f"v{i + 1}", f"v{i}") for i in range(43)), ("v43", "lit")], "dst string, src string").coalesce(1)
+    origins = spark.createDataFrame([("v0", "CLIENT", None), ("lit", "SERVER_SET", None)], "node string, verdict string, evidence string").coalesce(1)
+    got = {r.node: r for r in tracing.value_origins(flows, origins, cut=state.written).collect()}
+    assert got["v43"].verdict == "CLIENT" and len(got["v43"].steps) == 44 and got["lit"].verdict == "SERVER_SET"
+
+
+def test_ancestors_of_a_deep_tree(spark):
+    nodes = spark.createDataFrame([("t", i, i, str(i)) for i in range(1, 41)], "tree string, pos int, depth int, coordinate string")
+    assert {r.pos: r.path for r in trees.ancestors(nodes).collect()} == {i: list(range(1, i + 1)) for i in range(1, 41)}
+    assert trees.ancestors(nodes.where("false")).count() == 0
+
+
 def test_rule_changes_and_proposals(spark):
     rules = lambda *r: spark.createDataFrame(list(r), "kind string, name string, value string")
     none = spark.createDataFrame([], "change_key string")
