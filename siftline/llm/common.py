@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: What every whitespace-separated operator here calls white space.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
+#: A key of a join is hot if it has over one in so many of the rows.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +41,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def row_key(id_column: str, text_column: str) -> Column:
-    """A key of a document's row: rows with the same id and the same text share it, nulls included."""
-    return F.xxhash64(F.col(id_column), F.col(text_column))
+    """A key of 128 bits of a document's row: rows with the same id and the same text share it, nulls included."""
+    told = lambda c: F.when(c.isNull(), F.lit("\x00")).otherwise(F.concat(F.lit("\x01"), c))
+    return F.unhex(F.md5(F.concat(told(F.col(id_column).cast("string")), F.lit("\x02"), told(F.col(text_column))).cast("binary")))
+
+
+def joined_with_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, values: list[str], spread: Column) -> DataFrame:
+    """Inner join of ``left`` with ``values`` of ``right``, where a key may stand in any share of the rows.
+
+    ``right`` has a row for each key and in ``n`` a count that grows with the key's rows in ``left``; it must
+    be written, as it is read twice. Keys with over one in ``HOT_KEYS`` of all counts, so fewer than that many, are broadcast;
+    rows that these match pass the other keys' join dealt by ``spread`` instead of by the key. ``left`` is read once.
+    """
+    total = right.agg(F.sum(n)).head()[0] or 0
+    is_hot = F.col(n) * HOT_KEYS > total
+    hot = right.where(is_hot).select(*keys, F.lit(True).alias("__hot"), *[F.col(v).alias(f"__{v}") for v in values])
+    rest = right.where(~is_hot).select(*keys, F.lit(0).cast("long").alias("__part"), F.lit(True).alias("__met"), *values)
+    marked = left.join(F.broadcast(hot), keys, "left")
+    dealt = marked.withColumn("__part", F.when(F.col("__hot"), spread).otherwise(F.lit(0).cast("long")))
+    met = dealt.join(rest, [*keys, "__part"], "left").where("__hot OR __met")
+    return met.select(*[met[c] for c in left.columns], *[F.coalesce(F.col(f"__{v}"), F.col(v)).alias(v) for v in values])
 
 
 def arrow_rows(

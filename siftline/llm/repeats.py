@@ -1,82 +1,100 @@
 """Removal of long repeated byte strings, by run-length indexes of the places that can hold them.
 
-A string of ``length`` bytes is repeated if it starts at two places of the corpus. Each such string
+A string of ``LENGTH`` bytes is repeated if it starts at two places of the corpus. Each such string
 has an anchor: of the ``GRAM``-byte strings in it, the one with the least hash. Equal strings have
 equal anchors at the same offset, so strings are dealt by their anchors' hashes, and no string
 meets a string with another anchor. Neighbouring strings with the same anchor make one context.
 
 * An anchor that stands once has no repeated string.
-* A context that stands twice is repeated whole; two hashes of it, 128 bits, decide that.
+* A context that stands twice is repeated whole; its XXH128 decides that.
 * What is left is contexts that share an anchor and differ, at the borders of repeated passages.
   Their bytes are fetched, and tasks build over the contexts of whole anchors the run-compressed
   Burrows-Wheeler transform with positions sampled at both ends of its runs. Between two samples,
   in order of the text, the longest match with the neighbour in suffix order shrinks by one a
   byte, so the matching statistics of every position stream off the samples, and all starts with
-  matches of ``length`` bytes or more are marked.
+  matches of ``LENGTH`` bytes or more are marked.
 * An anchor with more different contexts than one index may hold is taken apart first: its strings
   are dealt anew by what all strings in a block of offsets share, and at last one by one.
+
+Passages of ``WORDS`` words are found beside them, of any number of bytes, by the same steps: windows of words,
+anchors of ``GRAM_WORDS`` words, whole contexts by XXH128; what is left is compared window by window.
+These are reported, not removed.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import arrow_rows, cut, row_key, table
+from siftline.llm.common import arrow_rows, cut, joined_with_hot, table
 
 LENGTH = 400
 GRAM = 100
+#: Words of a repeated passage, and of its anchor.
+WORDS, GRAM_WORDS = 50, 12
 #: Different contexts of an anchor that go into one index, each of under 2 * LENGTH bytes.
 INDEXED = 4000
 #: Offsets that share a block when an anchor is taken apart, then each offset alone.
 BLOCKS = (24, 1)
-#: Bytes of text that are hashed, or indexed, at a time.
-CHUNK = 1 << 20
+#: Bytes of text that are hashed, or indexed, at a time; words at a time.
+CHUNK, CHUNK_WORDS = 1 << 20, 100_000
+#: What contexts are of.
+OF_BYTES, OF_WORDS = 0, 1
+
+# A context: its kind and anchor, its XXH128, its row, its first and last start, its anchor's place, its end.
+PLACED = "kind int, a bigint, u1 bigint, u2 bigint, k bigint, lo int, hi int, at int, upto int"
+PLACED_TYPES = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 4]
+STORED = "kind int, a bigint, d bigint, k bigint, lo int, hi int, at int, upto int, data binary"
+STORED_TYPES = [pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 4, pa.binary()]
+FOUND = "kind int, k bigint, lo int, upto int"
+FOUND_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
-PLACED = "a bigint, u1 bigint, u2 bigint, k bigint, lo int, hi int, at int"
-STORED = "a bigint, d bigint, k bigint, lo int, hi int, at int, data binary"
-STORED_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+def batch_of(columns: list, types: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
 
 class Hashes:
-    """Two polynomial hashes, modulo 2^64, of any stretch of a buffer."""
+    """A polynomial hash, modulo 2^64, of any stretch of a buffer. It deals strings out; it decides nothing."""
 
-    size = CHUNK + 4 * LENGTH
-    bases = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-    values = np.random.default_rng(5).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    powers: list[tuple[np.ndarray, np.ndarray]] = []
+    base = 0x9E3779B97F4A7C15 | 1
+    values = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
     def __init__(self, data: np.ndarray) -> None:
-        if not Hashes.powers:
-            for base in self.bases:
-                both = []
-                for b in (base, pow(base, -1, 1 << 64)):
-                    factors = np.full(self.size, b, dtype=np.uint64)
-                    factors[0] = 1
-                    both.append(np.multiply.accumulate(factors))
-                Hashes.powers.append((both[0], both[1]))
-        self.sums = []
-        for (power, _), value in zip(Hashes.powers, self.values, strict=True):
-            sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(value[data] * power[: len(data)], out=sums[1:])
-            self.sums.append(sums)
-
-    def of(self, which: int, lo: np.ndarray | slice, hi: np.ndarray | slice) -> np.ndarray:
-        sums, back = self.sums[which], Hashes.powers[which][1]
-        h = (sums[hi] - sums[lo]) * (back[lo] if not isinstance(lo, slice) else back[: lo.stop])
+        if len(Hashes.powers[0]) <= len(data):
+            both = []
+            for b in (self.base, pow(self.base, -1, 1 << 64)):
+                factors = np.full(max(CHUNK + 4 * LENGTH, len(data)) + 1, b, dtype=np.uint64)
+                factors[0] = 1
+                both.append(np.multiply.accumulate(factors))
+            Hashes.powers = (both[0], both[1])
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.values[data] * Hashes.powers[0][: len(data)], out=self.sums[1:])
+
+    def of(self, lo: np.ndarray | slice, hi: np.ndarray | slice) -> np.ndarray:
+        back = Hashes.powers[1]
+        h = (self.sums[hi] - self.sums[lo]) * (back[lo] if not isinstance(lo, slice) else back[: lo.stop])
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
         return h
 
 
+def strong(data: np.ndarray, lo: np.ndarray, upto: np.ndarray) -> list[np.ndarray]:
+    """The XXH128 of stretches of a buffer, as two columns."""
+    view = memoryview(np.ascontiguousarray(data))
+    digests = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(lo.tolist(), upto.tolist(), strict=True)])
+    return list(np.frombuffer(digests, dtype=np.int64).reshape(-1, 2).T)
+
+
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, by least from both ends of blocks of that width."""
     blocks = -(-len(keys) // width)
@@ -89,67 +107,123 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor and context hashes, first and last start and anchor's place of all contexts in a buffer of texts."""
-    width = LENGTH - GRAM + 1
-    none = np.empty(0, dtype=np.int64)
-    if len(data) < LENGTH:
-        return (none,) * 6
-    hashes = Hashes(data)
-    n = len(data) - GRAM + 1
-    gram = hashes.of(0, slice(0, n), slice(GRAM, GRAM + n))
-    places = np.arange(n, dtype=np.uint64)
+def runs(gram: np.ndarray, width: int, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First and last window, and the anchor, of neighbouring windows with the same anchor; ``whole`` says which windows count."""
+    places = np.arange(len(gram), dtype=np.uint64)
     least = sliding_least(gram >> np.uint64(28) << np.uint64(28) | places, width)
-    start = np.arange(len(least))
-    start = start[start + LENGTH <= ends[np.searchsorted(ends, start, side="right")]]
-    if not len(start):
-        return (none,) * 6
+    start = np.flatnonzero(whole)
     owner = (least[start] & np.uint64((1 << 28) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    last = np.concatenate([first[1:] - 1, [len(start) - 1]])
-    lo, hi, at = start[first], start[last], owner[first]
-    return gram[at].view(np.int64), hashes.of(0, lo, hi + LENGTH).view(np.int64), hashes.of(1, lo, hi + LENGTH).view(np.int64), lo, hi, at
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(start) else start
+    last = np.concatenate([first[1:] - 1, [len(start) - 1]]) if len(start) else start
+    return start[first], start[last], owner[first]
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts of rows ``k``, ``text`` (binary); long texts in overlapping stretches."""
+def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors' hashes, first and last starts, anchors' places and ends of all contexts in a buffer of texts."""
+    none = np.empty(0, dtype=np.int64)
+    if len(data) < LENGTH:
+        return (none,) * 5
+    n = len(data) - GRAM + 1
+    gram = Hashes(data).of(slice(0, n), slice(GRAM, GRAM + n))
+    start = np.arange(len(data) - LENGTH + 1)
+    lo, hi, at = runs(gram, LENGTH - GRAM + 1, start + LENGTH <= ends[np.searchsorted(ends, start, side="right")])
+    return gram[at].view(np.int64), lo, hi, at, hi + LENGTH
+
+
+def word_edges(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in a buffer of texts; no word goes from a text into the next."""
+    dark = ~((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)))
+    first, last = dark.copy(), dark.copy()
+    first[1:] &= ~dark[:-1]
+    last[:-1] &= ~dark[1:]
+    inner = begins[begins < len(data)]
+    first[inner] = dark[inner]
+    inner = ends[ends > 0] - 1
+    last[inner] = dark[inner]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_contexts(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """As ``contexts`` for windows of words, so many words at a time; places are in bytes."""
+    first, last = word_edges(data, begins, ends)
+    for w in range(0, len(first) - WORDS + 1, CHUNK_WORDS):
+        begin, stop = first[w : w + CHUNK_WORDS + WORDS - 1], last[w : w + CHUNK_WORDS + WORDS - 1]
+        skip = begin[0]
+        n = len(begin) - GRAM_WORDS + 1
+        gram = Hashes(data[skip : stop[-1]]).of(begin[:n] - skip, stop[GRAM_WORDS - 1 :] - skip)
+        whole = np.searchsorted(ends, begin[: len(begin) - WORDS + 1], side="right") == np.searchsorted(ends, begin[WORDS - 1 :], side="right")
+        lo, hi, at = runs(gram, WORDS - GRAM_WORDS + 1, whole)
+        # Anchors of words are not to meet anchors of bytes.
+        yield (gram[at] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64), begin[lo], begin[hi], begin[at], stop[hi + WORDS - 1]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Keys and texts of rows ``k``, ``packed``, as many as have ``CHUNK`` bytes together, or one longer text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    keys: list[int] = []
+    texts: list[bytes] = []
+    size = 0
     for batch in batches:
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = batch.column(1).cast(pa.large_binary())
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=len(texts) + 1, offset=8 * texts.offset)
-        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-        at = 0
-        while at < len(texts):
-            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-            begin, end = int(offsets[at]), int(offsets[upto])
-            for skip in range(begin, max(begin + 1, end - LENGTH + 1), CHUNK):
-                some = data[skip : min(end, skip + CHUNK + LENGTH - 1)]
-                a, u1, u2, lo, hi, place = contexts(some, np.minimum(offsets[at + 1 : upto + 1], skip + len(some)) - skip)
-                doc = at + np.searchsorted(offsets[at + 1 : upto + 1] - skip, lo, side="right")
-                back = skip - offsets[doc]
-                whole = [pa.array((x + back).astype(np.int32)) for x in (lo, hi, place)]
-                if len(lo):
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (a, u1, u2, key[doc])), *whole], names=[c.split()[0] for c in PLACED.split(", ")])
-            at = upto
+        for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = unpack(data.as_py())
+            if texts and size + len(text) > CHUNK:
+                yield np.array(keys, dtype=np.int64), texts
+                keys, texts, size = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            size += len(text)
+    if texts:
+        yield np.array(keys, dtype=np.int64), texts
+
+
+def _placed(batches: Iterator[pa.RecordBatch], anchors_only: bool) -> Iterator[pa.RecordBatch]:
+    """The contexts of rows ``k``, ``packed``, or just their anchors; long texts in overlapping stretches."""
+    for key, texts in _stretches(batches):
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        begins = ends - [len(t) for t in texts]
+        found = []
+        for skip in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
+            some = data[skip : skip + CHUNK + LENGTH - 1]
+            a, *places = contexts(some, np.minimum(np.maximum(ends - skip, 0), len(some)) if len(texts) == 1 else ends)
+            found.append((OF_BYTES, a, *[p + skip for p in places]))
+        found += [(OF_WORDS, *c) for c in word_contexts(data, begins, ends)]
+        for kind, a, lo, hi, at, upto in found:
+            if not len(a):
+                continue
+            if anchors_only:
+                yield pa.RecordBatch.from_arrays([pa.array(a)], names=["a"])
+                continue
+            doc = np.searchsorted(ends, lo, side="right")
+            back = begins[doc]
+            yield batch_of([np.full(len(a), kind), a, *strong(data, lo, upto), key[doc], *(x - back for x in (lo, hi, at, upto))], PLACED_TYPES, PLACED)
 
 
 def _apart(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Contexts taken apart into blocks of ``width`` offsets, each dealt by the bytes that its strings share."""
+    """Contexts of bytes taken apart into blocks of ``width`` offsets, each dealt by the bytes that its strings share."""
     for batch in batches:
-        out: list[tuple] = []
-        for a, k, lo, hi, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hashes = Hashes(np.frombuffer(data, dtype=np.uint8))
+        for a, k, lo, hi, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data = np.frombuffer(text, dtype=np.uint8)
+            hashes = Hashes(data)
             start = np.arange(lo, hi + 1)
             block = (at - start) // width
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             b_lo, b_hi = start[first], start[np.concatenate([first[1:] - 1, [len(start) - 1]])]
             core_lo, core_hi = at - block[first] * width, at - block[first] * width - width + 1 + LENGTH
-            core = hashes.of(0, core_lo - lo, core_hi - lo) ^ (np.uint64(a & (1 << 64) - 1) + block[first].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            u = [hashes.of(i, b_lo - lo, b_hi - lo + LENGTH).view(np.int64) for i in (0, 1)]
-            out += zip(core.view(np.int64).tolist(), *(x.tolist() for x in u), [k] * len(first), b_lo.tolist(), b_hi.tolist(), [at] * len(first), strict=True)
-        if out:
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PLACED.split(", ")])
+            core = hashes.of(core_lo - lo, core_hi - lo) ^ (np.uint64(a & (1 << 64) - 1) + block[first].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            n = len(first)
+            u = strong(data, b_lo - lo, b_hi - lo + LENGTH)
+            yield batch_of([np.full(n, OF_BYTES), core.view(np.int64), *u, np.full(n, k), b_lo, b_hi, np.full(n, at), b_hi + LENGTH], PLACED_TYPES, PLACED)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of words of the contexts ``k``, ``lo``, ``data``, with its XXH128."""
+    for batch in batches:
+        for k, lo, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data = np.frombuffer(text, dtype=np.uint8)
+            first, last = word_edges(data, np.array([0]), np.array([len(data)]))
+            first, last = first[: len(first) - WORDS + 1], last[WORDS - 1 :]
+            yield batch_of([*strong(data, first, last), np.full(len(first), k), first + lo, last + lo], [pa.int64()] * 3 + [pa.int32()] * 2, "u1 bigint, u2 bigint, k bigint, lo int, upto int")
 
 
 class RunIndex:
@@ -229,7 +303,7 @@ class RunIndex:
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated starts in rows ``a``, ``k``, ``lo``, ``data`` that come in order of ``a``; whole anchors share an index."""
+    """Repeated strings in rows ``a``, ``k``, ``lo``, ``data`` that come in order of ``a``; whole anchors share an index."""
     held: list[tuple] = []
     size = 0
     for batch in batches:
@@ -250,13 +324,11 @@ def _marked(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         of = np.searchsorted(index.begins, lo, side="right") - 1
         shift = np.array([row[2] for row in held], dtype=np.int64)[of] - index.begins[of]
         k = np.array([row[1] for row in held], dtype=np.int64)[of]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(k), pa.array((lo + shift).astype(np.int32)), pa.array((hi + shift).astype(np.int32))], names=["k", "lo", "hi"]
-        )
+        yield batch_of([np.full(len(k), OF_BYTES), k, lo + shift, hi + shift + LENGTH], FOUND_TYPES, FOUND)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``k``, ``id``, ``text`` with the text compressed, as it will be shuffled."""
+    """Rows ``k``, ``id``, ``text`` with the text compressed, as it will be written and shuffled."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
@@ -264,86 +336,106 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(map(pack, some.column(2).to_pylist()), type=pa.binary())], names=["k", "id", "packed"])
 
 
-def packed(texts: DataFrame) -> DataFrame:
-    return texts.select("k", "id", "text").mapInArrow(_packed, "k bigint, id bigint, packed binary")
-
-
 def _sliced(rows: Iterator[tuple]) -> Iterator[tuple]:
     for key, data, wanted in rows:
         text = zstandard.decompress(data)
         for w in wanted:
-            yield w["a"], w["d"], key, w["lo"], w["hi"], w["at"], text[w["lo"] : w["hi"] + LENGTH]
+            yield w["kind"], w["a"], w["d"], key, w["lo"], w["hi"], w["at"], w["upto"], text[w["lo"] : w["upto"]]
 
 
-def repeated_starts(texts: DataFrame) -> DataFrame:
-    """``k``, ``lo``, ``hi``: neighbouring starts, in bytes, of repeated strings in rows ``k``, ``id``, ``text`` (binary)."""
+def repeated(texts: DataFrame) -> DataFrame:
+    """``kind``, ``k``, ``lo``, ``upto``: stretches, in bytes, of repeated strings and passages in rows ``k``, ``packed``, which are written."""
     found: list[DataFrame] = []
-    placed = texts.select("k", "text").mapInArrow(_placed, PLACED)
+    narrow = texts.select("k", "packed")
+    anchors = narrow.mapInArrow(partial(_placed, anchors_only=True), "a bigint")
+    placed = narrow.mapInArrow(partial(_placed, anchors_only=False), PLACED)
     stored = None
+    place = F.xxhash64("k", "lo")
     for width in (*BLOCKS, None):
-        # Written first, so that the join with the rows can split an anchor that many rows share.
-        common = cut(placed.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
-        shared = cut(placed.join(common, "a").select(*placed.columns))
-        same = shared.groupBy("a", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "hi", "at")).alias("one"))
-        found.append(shared.join(cut(same.where("n > 1").select("a", "u1", "u2")), ["a", "u1", "u2"]).select("k", "lo", "hi"))
+        common = cut(anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
+        shared = cut(joined_with_hot(placed, common, ["a"], "n", [], place))
+        same = cut(shared.groupBy("kind", "a", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "hi", "at", "upto")).alias("one")))
+        twice = same.where("n > 1").select("a", "u1", "u2", "n")
+        found.append(joined_with_hot(shared, twice, ["a", "u1", "u2"], "n", [], place).select("kind", "k", "lo", "upto"))
         mixed = same.groupBy("a").agg(F.count("*").alias("d"), F.count_if(F.col("n") == 1).alias("single")).where("d > 1 AND single > 0")
-        open_ = same.join(mixed, "a").select("a", "d", "one.*")
+        open_ = same.join(mixed, "a").select("kind", "a", "d", "one.*")
         if stored is None:
-            wanted = open_.groupBy("k").agg(F.collect_list(F.struct("a", "d", "lo", "hi", "at")).alias("wanted"))
-            fetched = arrow_rows(packed(texts).join(wanted, "k").select("k", "packed", "wanted"), _sliced, STORED, STORED_TYPES, 512)
+            wanted = open_.groupBy("k").agg(F.collect_list(F.struct("kind", "a", "d", "lo", "hi", "at", "upto")).alias("wanted"))
+            fetched = arrow_rows(texts.join(wanted, "k").select("k", "packed", "wanted"), _sliced, STORED, STORED_TYPES, 512)
         else:
-            inner = stored.select("k", F.col("lo").alias("from"), F.col("hi").alias("upto"), F.col("data").alias("whole"))
-            fetched = (
-                open_.join(inner, "k")
-                .where("from <= lo AND hi <= upto")
-                .select("a", "d", "k", "lo", "hi", "at", F.substring(F.col("whole"), F.col("lo") - F.col("from") + 1, F.col("hi") - F.col("lo") + LENGTH).alias("data"))
-            )
+            inner = stored.select("k", F.col("lo").alias("from"), F.col("upto").alias("end"), F.col("data").alias("whole"))
+            part = F.substring(F.col("whole"), F.col("lo") - F.col("from") + 1, F.col("upto") - F.col("lo"))
+            fetched = open_.join(inner, "k").where("from <= lo AND upto <= end").select("kind", "a", "d", "k", "lo", "hi", "at", "upto", part.alias("data"))
         fetched = cut(fetched)
-        few = fetched.where(F.col("d") <= INDEXED).select("a", "k", "lo", "data")
-        found.append(few.repartition("a").sortWithinPartitions("a").mapInArrow(_indexed, "k bigint, lo int, hi int"))
-        stored = fetched.where(F.col("d") > INDEXED).select("a", "k", "lo", "hi", "at", "data")
+        of_bytes = fetched.where(F.col("kind") == OF_BYTES)
+        few = of_bytes.where(F.col("d") <= INDEXED).select("a", "k", "lo", "data")
+        found.append(few.repartition("a").sortWithinPartitions("a").mapInArrow(_indexed, FOUND))
+        if stored is None:
+            found.append(repeated_windows(fetched.where(F.col("kind") == OF_WORDS)))
+        stored = of_bytes.where(F.col("d") > INDEXED).select("a", "k", "lo", "hi", "at", "upto", "data")
         if width is None or stored.isEmpty():
             break
-        placed = stored.mapInArrow(partial(_apart, width=width), PLACED)
+        placed = stored.select("a", "k", "lo", "hi", "at", "data").mapInArrow(partial(_apart, width=width), PLACED)
+        anchors = placed
     return reduce(DataFrame.union, found)
 
 
+def repeated_windows(fetched: DataFrame) -> DataFrame:
+    """The windows of words that stand in several of the contexts left over, or in a context that stands several times.
+
+    A context that is left over once may share windows with one that is repeated whole; ``fetched`` has one of each.
+    """
+    windows = cut(fetched.select("k", "lo", "data").mapInArrow(_windows, "u1 bigint, u2 bigint, k bigint, lo int, upto int"))
+    counts = cut(windows.groupBy("u1", "u2").agg(F.count("*").alias("n")).where("n > 1"))
+    met = joined_with_hot(windows, counts, ["u1", "u2"], "n", [], F.xxhash64("k", "lo"))
+    return met.select(F.lit(OF_WORDS).alias("kind"), "k", "lo", "upto")
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans that overlap or touch made one."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
 def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id``, ``n_bytes``, ``spans`` (removed runs as struct of lo, hi), ``kept`` (binary) per row of ``docs``.
+    """``id``, ``n_bytes``, ``spans`` (removed runs as struct of lo, hi), ``passages`` (likewise), ``kept`` (binary) per row of ``docs``.
 
     Each byte covered by a string of ``LENGTH`` bytes that also starts elsewhere is removed; strings
-    never cross rows. A null text is empty; repeated rows are each a place of their own; rows with
-    a null id stay; other columns are not read.
+    never cross rows. ``passages`` are the stretches covered by ``WORDS`` words (what ASCII white space separates) that stand,
+    with the same white space, elsewhere too; they stay. A null text is empty; repeated rows are each a place of their own; rows with
+    a null id stay; an empty table gives none; other columns are not read. Texts are hashed in stretches, so a very long one
+    needs memory for itself and a stretch.
     """
     source = docs.select(
-        row_key(id_column, text_column).alias("k"),
+        F.monotonically_increasing_id().alias("k"),
         F.col(id_column).cast("long").alias("id"),
         F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"),
     )
-    starts = repeated_starts(source)
-    by_row = starts.groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
+    # Written, so that a row's number stays its own.
+    texts = cut(source.mapInArrow(_packed, "k bigint, id bigint, packed binary"))
+    by_row = repeated(texts).groupBy("k").agg(F.collect_set(F.struct("kind", "lo", "upto")).alias("found"))
 
     def rows(batch: Iterator[tuple]) -> Iterator[tuple]:
-        for key, data, ranges in batch:
+        for key, data, found in batch:
             text = zstandard.decompress(data)
-            spans: list[list[int]] = []
-            for lo, hi in sorted((r["lo"], r["hi"] + LENGTH) for r in ranges or []):
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                else:
-                    spans.append([lo, hi])
+            spans, passages = (joined_spans([(r["lo"], r["upto"]) for r in found or [] if r["kind"] == kind]) for kind in (OF_BYTES, OF_WORDS))
             edges = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join(text[lo:hi] for lo, hi in zip(edges[::2], edges[1::2], strict=True))
-            yield key, len(text), [{"lo": lo, "hi": hi} for lo, hi in spans], kept
+            yield key, len(text), *([{"lo": lo, "hi": hi} for lo, hi in some] for some in (spans, passages)), kept
 
-    joined = packed(source).join(by_row, "k", "left").select("id", "packed", "starts")
+    joined = texts.join(by_row, "k", "left").select("id", "packed", "found")
     span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    schema = "id bigint, n_bytes bigint, spans array<struct<lo:int,hi:int>>, kept binary"
-    return arrow_rows(joined, rows, schema, [pa.int64(), pa.int64(), span, pa.binary()], 512)
+    schema = "id bigint, n_bytes bigint, spans array<struct<lo:int,hi:int>>, passages array<struct<lo:int,hi:int>>, kept binary"
+    return arrow_rows(joined, rows, schema, [pa.int64(), pa.int64(), span, span, pa.binary()], 512)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is removed and left of every whole text of ``documents``."""
+    """What is removed and left of every whole text of ``documents``; ``n_passage_bytes`` is covered by repeated passages of words."""
     left = drop_repeats(table(spark, sf_dir, "documents"))
     return left.select(
         F.col("id").alias("doc_id"),
@@ -351,6 +443,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"]).alias("n_passage_bytes"),
     )
 
 

@@ -23,15 +23,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import arrow_rows, cut, row_key, table
+from siftline.llm.common import arrow_rows, cut, joined_with_hot, row_key, table
 from siftline.llm.graph import components
 
 BLOCKS, BLOCK_BITS = 4, 16
 SKETCH = 64
 #: A sketch's permutations of hashes: products with odd numbers modulo 2^64.
 PERMUTATIONS = np.random.default_rng(4).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Candidates' estimates may lie so many standard errors below the similarity; the first ``GLANCE`` bytes are compared first.
-ERRORS, GLANCE = 5, 16
+#: Bytes of a sketch that make a band, and texts that a part of a band has on average, at most.
+BAND, BAND_TEXTS = 4, 4096
+#: Candidates' estimates may lie so many standard errors below the similarity.
+ERRORS = 5
 #: Texts, and their shingles, that a part of a group of candidates has on average, at most.
 GROUP_TEXTS, GROUP_SHINGLES = 2048, 1 << 22
 #: A byte's bits, each in a byte lane of a 64-bit word: 255 such words add up without a carry.
@@ -210,95 +212,103 @@ def similar_texts(
     radius: int = 22,
     similarity: float = 0.8,
     shingle_words: int = 5,
-    tiles: int = 16,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """``k``, ``keeper``: for each different row (``common.row_key``) the row that stays for its group.
 
     Rows are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more, by
-    exact count. Only candidates are counted: those that fingerprints of the sets within ``radius``
-    bits and sketches within ``ERRORS`` standard errors join, directly or not, are compared all with
-    all. A group is what links join, directly or not; the smallest id stays, of rows with the same
+    exact count. Only candidates are counted: texts that share a band of their sketches meet, and those whose
+    fingerprints of the sets lie within ``radius`` bits and whose sketches within ``ERRORS`` standard errors join, directly or not,
+    are compared all with all. A group is what links join, directly or not; the smallest id stays, of rows with the same
     id any one, null ids last. Rows without words are all alike.
 
-    Radii this wide leave little to skip: the work grows with the square of the number of
-    different fingerprints, in tiles of sorted population counts. No tile pair leaves the task that
-    compares it, and what is shuffled grows with the rows as long as ``tiles`` can stay the same;
-    past a million fingerprints a tile there are more tiles.
+    A sketch has ``SKETCH / BAND`` bands: a pair at a similarity of 0.8 shares none once in 4,600 times, one at 0.5
+    shares one in two of three cases. A band that many texts share is dealt in parts.
     """
 
     def rows(source: Iterator[tuple]) -> Iterator[tuple]:
         for key, place, text in source:
             hashes = np.unique(shingle_hashes(text, shingle_words))
-            fp, same = majority(hashes), xxhash.xxh64_intdigest(hashes.tobytes())
-            yield key, place, same - (same >> 63 << 64), len(hashes), fp - (fp >> 63 << 64), sketch(hashes)
+            fp, same = majority(hashes), xxhash.xxh3_128_digest(hashes.tobytes())
+            yield key, place, same, len(hashes), fp - (fp >> 63 << 64), sketch(hashes)
 
     narrow = docs.select(row_key(id_column, text_column).alias("k"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    prints = cut(arrow_rows(narrow, rows, "k bigint, id bigint, text bigint, n bigint, fp bigint, sketch binary", types))
-    # Texts with the same set of shingles are one text here.
-    texts = prints.groupBy("text", "n", "fp", "sketch").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("first"))
-    texts = cut(texts)
-    candidates = components(_similar_links(texts.select("text", "fp", "sketch"), radius, similarity, tiles))
+    types = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+    prints = cut(arrow_rows(narrow, rows, "k binary, id bigint, same binary, n bigint, fp bigint, sketch binary", types))
+    # Texts with the same set of shingles are one text here; its number stays its own, as it is written.
+    texts = prints.groupBy("same", "n", "fp", "sketch").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("first"))
+    texts = cut(texts.withColumn("text", F.monotonically_increasing_id()))
+    candidates = components(_similar_links(texts.select("text", "fp", "sketch"), radius, similarity))
     grouped = texts.select(F.col("text").alias("node"), "n", F.col("first.k").alias("k")).join(candidates, "node")
     near = components(_exact_links(grouped, narrow.select("k", "text"), similarity, shingle_words))
     rooted = texts.join(near.withColumnRenamed("node", "text"), "text", "left").withColumn("root", F.coalesce("root", "text"))
     keepers = rooted.groupBy("root").agg(F.min("first")["k"].alias("keeper"))
-    return prints.join(rooted.join(keepers, "root").select("text", "keeper"), "text").select("k", "keeper").distinct()
-
-
-def _similar_links(texts: DataFrame, radius: int, similarity: float, tiles: int) -> DataFrame:
-    tiles = max(tiles, -(-texts.count() // (1 << 20)))
-    spread = F.bit_count("fp").cast("long") * (1 << 20) + F.abs(F.xxhash64("text")) % (1 << 20)
-    cuts = texts.agg(F.percentile_approx(spread, [i / tiles for i in range(1, tiles)], 100 * tiles)).head()[0] or []
-    cuts = sorted(set(cuts))
-    tile = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < spread)) if cuts else F.lit(0)
-    least, most = [0, *(c >> 20 for c in cuts)], [*(c >> 20 for c in cuts), 64]
-    meets = [(i, j) for i in range(len(least)) for j in range(i, len(least)) if least[j] - most[i] <= radius]
-    pair = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in meets])
-    placed = texts.select("text", "fp", "sketch", tile.alias("t")).select(
-        "text", "fp", "sketch", "t", F.explode(F.filter(pair, lambda p: (p["i"] == F.col("t")) | (p["j"] == F.col("t")))).alias("p")
-    )
-    placed = placed.select("p.i", "p.j", (F.col("t") != F.col("p.i")).cast("int").alias("visits"), "fp", "text", "sketch")
-    together = placed.repartition(len(meets), "i", "j").sortWithinPartitions("i", "j", "visits")
+    return prints.join(rooted.join(keepers, "root").select("same", "keeper"), "same").select("k", "keeper").distinct()
+
+
+def _similar_links(texts: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``a``, ``b``: links that join all of ``texts`` (``text``, ``fp``, ``sketch``, written) that share a band and are alike, directly or not.
+
+    A band's texts are dealt by classes of population counts, each in parts, and parts meet in pairs; classes that lie
+    further apart than ``radius`` do not.
+    """
+    bands = [F.xxhash64(F.lit(b), F.substring("sketch", BAND * b + 1, BAND)) for b in range(SKETCH // BAND)]
+    each = texts.select("text", F.explode(F.array_distinct(F.array(*bands))).alias("band"))
+    shared = cut(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    met = cut(joined_with_hot(each, shared, ["band"], "n", ["n"], F.xxhash64("text")))
+    placed = met.join(texts, "text").withColumn("parts", F.ceil(F.col("n") / BAND_TEXTS).cast("int"))
+    class_ = F.floor(F.bit_count("fp") / (radius + 1)).cast("int")
+    part = F.pmod(F.xxhash64("text"), "parts").cast("int")
+    meets = F.transform(F.sequence(F.greatest(class_ - 1, F.lit(0)), class_ + 1), lambda c: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: c * F.col("parts") + p))
+    # A band that is one part meets itself alone, whatever the classes.
+    tile = F.when(F.col("parts") == 1, 0).otherwise(class_ * F.col("parts") + part)
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.flatten(meets))
+    dealt = placed.select("band", "text", "fp", "sketch", tile.alias("tile"), F.explode(others).alias("other"))
+    i, j = F.least("tile", "other"), F.greatest("tile", "other")
+    together = dealt.select("band", i.alias("i"), j.alias("j"), (F.col("tile") != i).cast("int").alias("visits"), "fp", "text", "sketch")
+    together = together.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "visits", "text")
     margin = ERRORS * (similarity * (1 - similarity) / SKETCH) ** 0.5
     return together.mapInArrow(partial(_compare_sketches, radius=radius, least=similarity - margin), "a bigint, b bigint").distinct()
 
 
 def _compare_sketches(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
-    """As ``_compare``; links carry the texts' keys and hold only where sketches are alike, too."""
-    meeting = None
-    own: list[tuple] = []
+    """As ``_compare``; links carry the texts' numbers and hold only where sketches are alike, too."""
+    meeting, sides = None, ([], [])
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if meeting is None:
+            return
+        own, visitors = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in sides)
+        others = visitors if meeting[1] != meeting[2] else own
+        if own and others:
+            for a, b in _alike(own, others, radius, least):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
     for batch in batches:
-        i, j, visits, fp, text = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
-        flat = b"".join(batch.column(5).to_pylist())
-        sketches = np.frombuffer(flat, dtype=np.uint8).reshape(-1, SKETCH)
+        band, i, j, visits, fp, text = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:6])
+        sketches = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
         fp = fp.astype(np.int64).view(np.uint64)
-        key = np.stack([i, j, visits])
+        key = np.stack([band, i, j, visits])
         begins = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
         for lo, hi in zip([0, *begins.tolist()], [*begins.tolist(), batch.num_rows], strict=True):
-            if (i[lo], j[lo]) != meeting:
-                meeting, own = (i[lo], j[lo]), []
-            some = (fp[lo:hi], text[lo:hi], sketches[lo:hi])
-            if visits[lo] == 0:
-                own.append(some)
-            if visits[lo] == 1 or i[lo] == j[lo]:
-                for a, b in (x for other in own for x in _alike(some, other, radius, least)):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if (band[lo], i[lo], j[lo]) != meeting:
+                yield from found()
+                meeting, sides = (band[lo], i[lo], j[lo]), ([], [])
+            sides[visits[lo]].append((fp[lo:hi], text[lo:hi], sketches[lo:hi]))
+    yield from found()
 
 
-def _alike(left: tuple, right: tuple, radius: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _alike(left: list, right: list, radius: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning forests of the pairs whose fingerprints and sketches are alike, slab by slab."""
     step = max(1, (1 << 20) // len(right[0]))
     for at in range(0, len(left[0]), step):
         i, j = np.nonzero(np.bitwise_count(left[0][at : at + step, None] ^ right[0][None, :]) <= radius)
         i += at
-        other = left[1][i] != right[1][j]
+        other = left[1][i] < right[1][j] if left is right else left[1][i] != right[1][j]
         i, j = i[other], j[other]
         for some in range(0, len(i), 1 << 18):
             ii, jj = i[some : some + (1 << 18)], j[some : some + (1 << 18)]
-            glance = (left[2][ii, :GLANCE] == right[2][jj, :GLANCE]).sum(axis=1) >= GLANCE // 4
-            ii, jj = ii[glance], jj[glance]
             x, y = left[2][ii], right[2][jj]
             same = ((x == y) & (x > 0)).sum(axis=1)
             ok = same >= least * ((x > 0) | (y > 0)).sum(axis=1)
@@ -313,7 +323,7 @@ def _exact_links(grouped: DataFrame, docs: DataFrame, similarity: float, shingle
     """
     tiles = F.greatest(F.ceil(F.count("*") / GROUP_TEXTS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int")
     large = grouped.groupBy("root").agg(tiles.alias("tiles")).where("tiles > 1")
-    placed = grouped.join(F.broadcast(large), "root", "left").select("k", "root", "node", F.coalesce("tiles", F.lit(1)).alias("tiles"))
+    placed = grouped.join(large, "root", "left").select("k", "root", "node", F.coalesce("tiles", F.lit(1)).alias("tiles"))
 
     def rows(source: Iterator[tuple]) -> Iterator[tuple]:
         for root, tiles, node, text in source:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -66,14 +67,57 @@ def test_anchors_taken_apart_and_texts_in_stretches(spark, monkeypatch):
 
 def test_stretches_of_a_long_text(monkeypatch):
     import pyarrow as pa
+    import zstandard
 
     rng = random.Random(9)
     data = words(rng, 4000).encode()
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([data, b"short"], type=pa.binary())], names=["k", "text"])
-    covered = lambda bs: sorted(p for b in bs for lo, hi in zip(b["lo"].to_pylist(), b["hi"].to_pylist(), strict=True) for p in range(lo, hi + 1))
-    whole = covered(repeats._placed(iter([batch])))
+    packed = [zstandard.compress(t) for t in (data, b"short", b"")]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(packed, type=pa.binary())], names=["k", "packed"])
+
+    def covered():
+        rows = [r for b in repeats._placed(iter([batch]), False) for r in b.to_pylist()]
+        of_bytes = {(r["k"], p) for r in rows if r["kind"] == repeats.OF_BYTES for p in range(r["lo"], r["hi"] + 1)}
+        of_words = {p for r in rows if r["kind"] == repeats.OF_WORDS for p in range(r["lo"], r["upto"])}
+        return of_bytes, of_words
+
+    whole = covered()
     monkeypatch.setattr(repeats, "CHUNK", 5000)
-    assert covered(repeats._placed(iter([batch]))) == whole == list(range(len(data) - repeats.LENGTH + 1))
+    monkeypatch.setattr(repeats, "CHUNK_WORDS", 333)
+    assert covered() == whole == ({(1, p) for p in range(len(data) - repeats.LENGTH + 1)}, set(range(len(data))))
+
+
+def slow_passages(rows, n=repeats.WORDS):
+    windows, count = [], Counter()
+    for _, text in rows:
+        data = (text or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        windows.append([(at[i][0], at[i + n - 1][1]) for i in range(len(at) - n + 1)])
+        count.update(data[lo:hi] for lo, hi in windows[-1])
+    out = []
+    for (i, text), some in zip(rows, windows, strict=True):
+        data = (text or "").encode()
+        out.append((i, [tuple(s) for s in repeats.joined_spans([(lo, hi) for lo, hi in some if count[data[lo:hi]] > 1])]))
+    return sorted(out, key=str)
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    short = [" ".join(rng.choice("abcdefghij") + rng.choice("klmno") for _ in range(n)) for n in (49, 50, 51, 70)]
+    rows = [*corpus(), *[(400 + i, words(rng, 9) + " " + short[i % 4] + " " + words(rng, 7)) for i in range(12)], (420, short[3].replace(" ", "\n"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sorted(((r.id, [(p.lo, p.hi) for p in r.passages]) for r in repeats.drop_repeats(docs).collect()), key=str)
+    want = slow_passages(rows)
+    assert got == want
+    caught = {i for i, p in want if p}
+    assert {401, 402, 403} <= caught and not caught & {400, 404, 408, 420}
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = repeats.op5_repeats(spark, folder).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == slow(rows)
+    assert {r.doc_id: r.n_passage_bytes for r in got} == {i: sum(hi - lo for lo, hi in p) for i, p in slow_passages(rows)}
 
 
 def test_index_of_repetitive_texts():
