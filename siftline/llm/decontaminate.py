@@ -17,8 +17,8 @@ from siftline.llm.common import cut, row_key, table
 
 #: What stands between words, once the text is in lower case.
 BETWEEN = r"[^\p{L}\p{N}]+"
-#: Rows of sketches, shingles or candidates up to which that side of a join is sent to all executors.
-BROADCAST_ROWS = 200_000
+#: Bytes of sketches, shingles or candidates up to which that side of a join is sent to all executors; a row counts for ``ROW_BYTES`` beside its words.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 
 
 def words(text: Column) -> Column:
@@ -26,32 +26,43 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def starts(n: Column, size: int) -> Column:
-    """Where shingles begin: one for texts with fewer words than ``size``, none without words."""
-    return F.when(n >= size, F.sequence(F.lit(0), n - size)).when(n > 0, F.array(F.lit(0)))
+def starts(n: Column, size: Column) -> Column:
+    """Where shingles begin; none for texts with fewer words than ``size``."""
+    return F.when(n >= size, F.sequence(F.lit(0), n - size))
 
 
-def shingle(words_: Column, at: Column, size: int) -> Column:
-    return F.concat_ws(" ", *[F.get(words_, at + i) for i in range(size)])
+def taken(words_: Column, at: Column, size: Column, most: int) -> list[Column]:
+    return [F.when(i < size, F.get(words_, at + i)) for i in range(most)]
 
 
-def hashed(words_: Column, at: Column, size: int) -> Column:
+def shingle(words_: Column, at: Column, size: Column, most: int) -> Column:
+    return F.concat_ws(" ", *taken(words_, at, size, most))
+
+
+def hashed(words_: Column, at: Column, size: Column, most: int) -> Column:
     """A hash of the same words; codegen'd, without building the string."""
-    return F.xxhash64(*[F.get(words_, at + i) for i in range(size)])
+    return F.xxhash64(*taken(words_, at, size, most))
 
 
-def bounded(side: DataFrame, rows: int) -> DataFrame:
-    """``side``, to be broadcast if its counted rows are few; else it is shuffled like the other side."""
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+def bounded(side: DataFrame, told: str | None = None) -> DataFrame:
+    """``side``, to be broadcast if its counted bytes are few (``told``: a text column); else it is shuffled like the other side."""
+    own = F.coalesce(F.octet_length(told), F.lit(0)) if told else F.lit(0)
+    n_bytes = side.agg(F.sum(own + ROW_BYTES)).head()[0] or 0
+    return F.broadcast(side) if n_bytes <= BROADCAST_BYTES else side
 
 
 def item_shingles(items: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """``item_id``, ``n_item`` (different shingles), ``shingle``, ``h``, once each."""
+    """``item_id``, ``n_item`` (different shingles), ``size`` (in words), ``shingle``, ``h``, once each.
+
+    An item of fewer words than ``size`` is one shingle of its own length.
+    """
     texts = items.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("item_id"), words(F.col(text_column)).alias("w"))
-    each = texts.select("item_id", "w", F.explode(starts(F.size("w"), size)).alias("at"))
-    different = each.select("item_id", shingle(F.col("w"), F.col("at"), size).alias("shingle"), hashed(F.col("w"), F.col("at"), size).alias("h")).distinct()
+    sized = texts.where(F.size("w") > 0).withColumn("size", F.least(F.size("w"), F.lit(size)))
+    each = sized.select("item_id", "w", "size", F.explode(starts(F.size("w"), F.col("size"))).alias("at"))
+    own = F.col("w"), F.col("at"), F.col("size"), size
+    different = each.select("item_id", "size", shingle(*own).alias("shingle"), hashed(*own).alias("h")).distinct()
     sizes = different.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    return different.join(sizes, "item_id").select("item_id", "n_item", "shingle", "h")
+    return different.join(sizes, "item_id").select("item_id", "n_item", "size", "shingle", "h")
 
 
 def sketches(shingles: DataFrame, share: float) -> DataFrame:
@@ -85,31 +96,46 @@ def contained(
     """``k`` (``common.row_key``), ``id``, ``item_id``, ``n_item``, ``n_shared``, ``containment`` of all pairs with ``share`` or more.
 
     Words are runs of letters and digits in lower case. Containment is the share of the item's
-    different ``size``-word shingles that the document holds. A text of fewer words is one
-    shingle, which only such a text with the same words can hold; a text without words, or null,
+    different ``size``-word shingles that the document holds; an item of fewer words is one shingle of its own
+    length, which any document may hold. A text without words, or null,
     holds and is held by nothing. Rows with the same id and text give one pair; items with the
-    same id are one item, items without an id are left out; null ids of documents stay. The join with the items is a broadcast join as long as their counted rows are few,
-    a shuffled one beyond.
+    same id are one item, items without an id are left out; null ids of documents stay; a table that is empty gives no pairs; other
+    columns are not read. The joins with the items are broadcast joins as long as these are small by count,
+    shuffled ones beyond; no document is longer than its array of words.
     """
     shingles = cut(item_shingles(items, size, item_id_column, item_text_column))
-    probes = cut(sketches(shingles, share))
+    # The lengths of shingles, ``size`` of them at most.
+    sizes = sorted(r[0] for r in shingles.select("size").distinct().collect()) or [size]
+    probe = bounded(cut(sketches(shingles, share)))
     texts = docs.select(row_key(id_column, text_column).alias("k"), F.col(id_column).alias("id"), words(F.col(text_column)).alias("w"))
-    probe = bounded(probes, probes.count())
-    each = texts.select("k", "id", "w", F.size("w").alias("n"), F.explode(starts(F.size("w"), size)).alias("at"))
+
+    def placed(length: int) -> Column:
+        at = F.coalesce(starts(F.size("w"), F.lit(length)), F.array().cast("array<int>"))
+        return F.transform(at, lambda p: F.struct(F.lit(length).alias("size"), p.alias("at")))
+
+    def each(rows: DataFrame, *columns: Column | str) -> DataFrame:
+        """The shingles of rows, of all lengths that items have."""
+        if len(sizes) == 1:
+            return rows.select(*columns, "w", F.lit(sizes[0]).alias("size"), F.explode(starts(F.size("w"), F.lit(sizes[0]))).alias("at"))
+        places = [placed(n) for n in sizes]
+        return rows.select(*columns, "w", F.explode(F.flatten(F.array(*places))).alias("p")).select(*columns, "w", "p.size", "p.at")
+
+    own = F.col("w"), F.col("at"), F.col("size"), size
+    # How many shingles a text has at most.
+    n = sum((F.greatest(F.size("w") - x + 1, F.lit(0)) for x in sizes), F.lit(0))
     found = (
-        each.select("k", "id", "n", hashed(F.col("w"), F.col("at"), size).alias("h"))
+        each(texts.withColumn("n", n), "k", "id", "n")
+        .select("k", "id", "n", hashed(*own).alias("h"))
         .join(probe, "h")
-        .where(F.greatest(F.col("n") - size + 1, F.lit(1)) >= F.col("least"))
+        .where("n >= least")
         .select("k", "id", "item_id")
         .distinct()
     )
     candidates = cut(found)
-    rows = candidates.select("k", F.col("id").alias("i")).distinct()
-    kept = texts.join(bounded(rows, candidates.count()), (texts.k == rows.k) & texts.id.eqNullSafe(rows.i), "left_semi")
-    held = kept.select("k", "id", "w", F.explode(starts(F.size("w"), size)).alias("at")).select(
-        "k", "id", shingle(F.col("w"), F.col("at"), size).alias("shingle")
-    )
-    wanted = bounded(shingles.select("item_id", "n_item", "shingle"), shingles.count())
+    rows = candidates.select("k").distinct()
+    kept = texts.join(bounded(rows), "k", "left_semi")
+    held = each(kept, "k", "id").select("k", "id", shingle(*own).alias("shingle"))
+    wanted = bounded(shingles.select("item_id", "n_item", "shingle"), "shingle")
     pairs = held.join(wanted, "shingle").groupBy("k", "id", "item_id", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.col("n_item") * share - 1e-9)
 
@@ -128,14 +154,20 @@ ORACLES = {
             SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
             UNION ALL
             SELECT 1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark
-        ), shingles AS (
-            SELECT DISTINCT kind, id, array_to_string(list_slice(w, p, p + 4), ' ') AS s
-            FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS p FROM texts)
+        ), items AS (
+            SELECT id, w, least(len(w), 5) AS size FROM texts WHERE kind = 1 AND len(w) > 0
+        ), lengths AS (
+            SELECT DISTINCT size FROM items
+        ), wanted AS (
+            SELECT DISTINCT id, array_to_string(list_slice(w, p, p + size - 1), ' ') AS s
+            FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM items)
+        ), held AS (
+            SELECT DISTINCT id, array_to_string(list_slice(w, p, p + size - 1), ' ') AS s
+            FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM texts JOIN lengths ON kind = 0 AND len(w) >= size)
         ), sizes AS (
-            SELECT id AS item_id, count(*) AS n_item FROM shingles WHERE kind = 1 GROUP BY id
+            SELECT id AS item_id, count(*) AS n_item FROM wanted GROUP BY id
         ), shared AS (
-            SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared
-            FROM shingles d JOIN shingles b ON d.kind = 0 AND b.kind = 1 AND d.s = b.s GROUP BY 1, 2
+            SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM held d JOIN wanted b ON d.s = b.s GROUP BY 1, 2
         )
         SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
         FROM shared JOIN sizes USING (item_id) WHERE n_shared >= n_item * 0.8 - 1e-9

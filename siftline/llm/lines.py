@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import row_key, table
+from siftline.llm.common import cut, joined_with_hot, row_key, table
 
 #: The characters stripped at both ends of a line: space and U+0009 to U+000D.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -23,31 +23,26 @@ def line_key(line: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, id_column: str, text_column: str) -> DataFrame:
-    """``k`` and ``id`` of each row that loses lines, with the sorted positions of these lines."""
+    """``k`` of each row that loses lines, with the sorted positions of these lines."""
     lines = docs.select(
         row_key(id_column, text_column).alias("k"),
         F.col(id_column).alias("id"),
         F.posexplode(F.split(F.col(text_column), "\n", -1)).alias("pos", "line"),
     ).select("k", "id", "pos", line_key(F.col("line")).alias("key"))
+    # A null id is one document more, below all others.
+    doc = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("doc")
     hashed = lines.where(F.char_length("key") >= min_chars).select(
-        "k", "id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")
+        "k", doc, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")
     )
-    # A null id is one document more, below all others.
-    known = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
     common = (
-        hashed.select("h1", "h2", known.alias("doc"))
+        hashed.select("h1", "h2", "doc")
         .distinct()
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
         .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "keeper")
-    )
-    return (
-        hashed.join(common, ["h1", "h2"])
-        .where(known != F.col("keeper"))
-        .groupBy("k", "id")
-        .agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     )
+    held = joined_with_hot(hashed, cut(common), ["h1", "h2"], "n", ["keeper"], F.xxhash64("k", "pos"))
+    return held.where("doc <> keeper").groupBy("k").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
 def drop_lines(
@@ -64,24 +59,18 @@ def drop_lines(
     lines, but in the largest id that holds the key. A null or empty text is one empty line and
     stays empty. Rows with the same id are one document when documents are counted, and so are
     all rows with a null id, which counts as the smallest. Columns of ``docs`` with the names of
-    the added ones are replaced; repeated rows stay repeated.
+    the added ones are replaced; any others are allowed; repeated rows stay repeated; an empty table gives none.
+    A line that very many documents hold is not joined in one task; a text's lines must fit in memory.
     """
-    gone = repeated_lines(docs, min_chars, min_docs, id_column, text_column).select(
-        F.col("k").alias("__k"), F.col("id").alias("__id"), F.col("dropped").alias("__dropped")
-    )
-    joined = docs.join(
-        gone,
-        (row_key(id_column, text_column) == F.col("__k")) & docs[id_column].eqNullSafe(F.col("__id")),
-        "left",
-    )
-    lines = F.split(F.coalesce(F.col(text_column), F.lit("")), "\n", -1)
-    dropped = F.coalesce(F.col("__dropped"), F.array().cast("array<int>"))
+    gone = repeated_lines(docs, min_chars, min_docs, id_column, text_column)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_column, text_column).alias("k"))
+    text = F.coalesce(F.col("row")[text_column], F.lit(""))
+    lines = F.split(text, "\n", -1)
+    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     staying = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    kept = F.when(
-        F.size(dropped) > 0, F.array_join(F.transform(staying, lambda at: F.get(lines, at)), "\n")
-    ).otherwise(F.coalesce(F.col(text_column), F.lit("")))
-    return joined.select(
-        *[docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")],
+    kept = F.when(F.size(dropped) > 0, F.array_join(F.transform(staying, lambda at: F.get(lines, at)), "\n")).otherwise(text)
+    return whole.join(gone, "k", "left").select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")],
         F.size(lines).cast("long").alias("n_lines"),
         F.size(dropped).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),

@@ -36,7 +36,7 @@ def near_pairs(texts, least):
 def slow_contained(docs, items, share=0.8, size=5):
     def of(text):
         words = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
-        return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+        return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
     wanted = {i: of(t) for i, t in items}
     return [(d, i) for d, text in docs for held in [of(text)] for i, s in wanted.items() if s and len(s & held) >= share * len(s) - 1e-9]
