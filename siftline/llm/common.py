@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -27,11 +28,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not sc.master.startswith("local"):
+    if not shared and sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not shared or sc.master.startswith("local["):
-        shared = shared or tempfile.mkdtemp(prefix="siftline-checkpoint-")
-    sc.setCheckpointDir(shared)
+    # With one machine alone its own folder is shared.
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siftline-checkpoint-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots and a versioned map from slots to shards.
 
-Each record is hashed by its id into one of thousands of virtual slots; that never changes. A map
+Each record is hashed into one of thousands of virtual slots; that never changes. The hash is of its id and its
+text's checksum, so that records that share an id, or lack one, are not all in one slot. A map, which is stored as a table,
 says which shard has which slot. Its first version deals the slots out in turn; rebalancing adds a
 version that moves few slots, by the bytes counted per slot, until shards are as near equal as
 moves of single slots can make them. All versions stay in the map's table, so any earlier
@@ -16,13 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, table
+from siftline.llm.common import cut, shared_folder, table
 
 SLOTS = 4096
 
 
-def slot_of(id_column: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(id_column), F.lit(slots)).cast("int")
+def slot_of(id_column: Column, checksum: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(id_column, checksum), F.lit(slots)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,22 @@ class SlotMap:
             versions.append(placed)
         return cls(shards, tuple(versions))
 
+    def store(self, spark: SparkSession, folder: str, first: int = 0) -> None:
+        """Writes versions from ``first`` on, each to a folder of its own; one that is there already is an error, never replaced.
+
+        A version that changes nothing is written as the first slot's unchanged shard, so that it is counted.
+        """
+        for version in range(first, len(self.versions)):
+            placed = self.versions[version]
+            before = self.versions[version - 1] if version else np.full(len(placed), -1)
+            moved = np.flatnonzero(placed != before)
+            rows = [(int(s), int(placed[s])) for s in (moved if len(moved) else [0])]
+            spark.createDataFrame(rows, "slot int, shard int").coalesce(1).write.parquet(f"{folder}/version={version:06d}")
+
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str, shards: int) -> SlotMap:
+        return cls.read(spark.read.parquet(folder), shards)
+
 
 def records(docs: DataFrame, slots: int, id_column: str, text_column: str) -> DataFrame:
     """What is kept of each record: ``id``, ``size``, ``crc``, ``vslot``."""
@@ -90,8 +107,7 @@ def records(docs: DataFrame, slots: int, id_column: str, text_column: str) -> Da
         F.col(id_column).alias("id"),
         (F.coalesce(F.octet_length(text_column), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary")).alias("crc"),
-        slot_of(F.col(id_column), slots).alias("vslot"),
-    )
+    ).withColumn("vslot", slot_of(F.col("id"), F.col("crc"), slots))
 
 
 def slot_sizes(placed: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,40 +120,44 @@ def slot_sizes(placed: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shard(
     docs: DataFrame,
+    folder: str,
     shards: int = 16,
     slots: int = SLOTS,
-    slot_map: SlotMap | None = None,
+    new: bool = True,
     id_column: str = "doc_id",
     text_column: str = "text",
-) -> tuple[DataFrame, SlotMap]:
-    """``id``, ``size``, ``crc``, ``vslot``, ``shard``, ``place`` of each record, and the map after rebalancing.
+) -> DataFrame:
+    """``id``, ``size``, ``crc``, ``vslot``, ``shard``, ``place`` of each record.
 
-    ``size`` is the UTF-8 bytes of the text plus one, so 1 for a null text. ``place`` counts the
+    The map in ``folder`` (if ``new``, a first version is written there) is rebalanced and stored as its next version, and records are
+    placed by what is then read from it. ``size`` is the UTF-8 bytes of the text plus one, so 1 for a null text; texts are read
+    once, of any length. ``place`` counts the
     records of a shard from 0 without gaps, by virtual slot and then by id, size and checksum;
-    repeated rows have places of their own, null ids one virtual slot together. All records of an
-    id share a slot, which cannot be split; the ids' hashes spread everything else. Nothing but
+    repeated rows have places of their own and share a slot, which cannot be split; other rows with the same id or none are
+    spread by their checksums. An empty table gives none; other columns are not read. Nothing but
     four numbers a record is shuffled.
     """
+    spark = docs.sparkSession
     base = cut(records(docs, slots, id_column, text_column))
     sizes, counts = slot_sizes(base, slots)
-    chosen = (slot_map or SlotMap.dealt(shards, slots)).rebalanced(sizes)
-    placed = chosen.versions[-1]
+    if new:
+        SlotMap.dealt(shards, slots).store(spark, folder)
+    before = SlotMap.stored(spark, folder, shards)
+    before.rebalanced(sizes).store(spark, folder, len(before.versions))
+    placed = SlotMap.stored(spark, folder, shards).versions[-1]
     offsets = np.zeros(slots, dtype=np.int64)
-    for s in range(chosen.shards):
+    for s in range(shards):
         own = np.flatnonzero(placed == s)
         offsets[own] = np.cumsum(counts[own]) - counts[own]
-    spark = docs.sparkSession
-    places = spark.createDataFrame(
-        [(i, int(placed[i]), int(offsets[i])) for i in range(slots)], "vslot int, shard int, first long"
-    )
+    places = spark.createDataFrame([(i, int(placed[i]), int(offsets[i])) for i in range(slots)], "vslot int, shard int, first long")
     rank = F.row_number().over(Window.partitionBy("vslot").orderBy("id", "size", "crc"))
     ranked = base.withColumn("rank", rank).join(F.broadcast(places), "vslot")
-    return ranked.select("id", "size", "crc", "vslot", "shard", (F.col("first") + F.col("rank") - 1).alias("place")), chosen
+    return ranked.select("id", "size", "crc", "vslot", "shard", (F.col("first") + F.col("rank") - 1).alias("place"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in 16 shards of nearly equal bytes; ``slot`` is the place in the shard."""
-    placed, _ = shard(table(spark, sf_dir, "documents"), 16)
+    placed = shard(table(spark, sf_dir, "documents"), shared_folder(spark, "slot_map"), 16)
     return placed.select(
         F.col("id").alias("doc_id"),
         "size",
