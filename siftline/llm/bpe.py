@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siftline.llm.common import arrow_rows, table
 
@@ -161,6 +162,18 @@ class Codec(dict):
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+#: The codec that a Python worker made last, with its vocabulary: a worker does many tasks.
+_made: dict[bytes, Codec] = {}
+
+
+def codec_of(data: bytes) -> Codec:
+    key = hashlib.sha256(data).digest()
+    if key not in _made:
+        _made.clear()
+        _made[key] = Codec(parse_ranks(data))
+    return _made[key]
+
+
 def encode(
     docs: DataFrame,
     vocabulary: str | None = None,
@@ -217,12 +230,12 @@ def _coded(docs, vocabulary, pattern, id_column, value_column, work, schema, typ
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary or public_tokenizers.path(VOCABULARY)))
 
     def rows(source: Iterator[tuple]) -> Iterator[tuple]:
-        codec = Codec(parse_ranks(data.value))
+        codec = codec_of(data.value)
         cut = regex.compile(pattern) if pattern else None
         for key, value in source:
             yield (key, *work(codec, cut.findall(value or "") if cut else value or b""))
 
-    kind = pa.int64() if _type(docs, id_column) == "bigint" else pa.int32() if _type(docs, id_column) == "int" else pa.string()
+    kind = to_arrow_type(docs.schema[id_column].dataType)
     return arrow_rows(docs.select(F.col(id_column), F.col(value_column)), rows, schema, [kind, *types])
 
 
