@@ -1,18 +1,21 @@
 """Document quality by co-training: two views of a document teach each other.
 
-One classifier sees the text's content (its words), the other the page's metadata (the declared
-language, source and length, and the layout: lines, blanks, bytes). Both start from a bounded
-sample of labelled documents. In each round each scores all documents without a label and hands
-those of which it is surest, as pseudo-labels, to the other. At last each view is calibrated
-on labelled documents kept apart, and the two calibrated log odds are added to score all documents.
-Features are a few numbers a document, made in one pass over the texts; rounds run on these.
+One classifier sees the text: its words, weighed by how much more often good or bad labelled documents
+hold them, and how it is written and laid out. The other sees what is known of the document without its text: declared
+source, language and length. Both start from a bounded sample of labelled documents. In each round
+each scores all documents without a label, and all those of which it is sure become, as pseudo-labels, the other's
+lessons. Pseudo-labels are never gathered: Newton's sums over them are computed where they are and added up, those of a class
+weighing together as much as its labelled documents. Documents that look alike to both views teach once.
+At last each view is calibrated on labelled documents kept apart, and so is the sum of the two log odds, which
+scores all documents. Features are a few numbers a document, made in one pass over the texts; rounds run on these.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from operator import add, eq
 
 import numpy as np
@@ -26,54 +29,96 @@ from siftline.llm.common import arrow_rows, cut, table
 #: At most so many labelled documents, those whose ids' hashes are least; every fifth is kept for calibration.
 LABELLED = 10_000
 ROUNDS = 3
-#: In each round a view hands over so many documents of either class, of those it is at least this sure of.
-HANDED, SURE = 400, 0.97
+#: Newton steps of a view in a round, from where it stood.
+STEPS = 3
+#: A view teaches the documents of whose label it is at least this sure.
+SURE = 0.97
 #: Documents score as kept from this combined probability of being good.
 KEPT = 0.5
 BUCKETS = 8
+#: Words that are weighed, at most, and by how many standard deviations either class must hold each more often; longer words are cut.
+WORDS, DEVIATIONS, WORD_CHARS = 4096, 4.0, 32
 
-CONTENT = ["distinct", "word_length", "upper", "repeated", "marked", "digits"]
-METADATA = ["log_chars", "lines", "blanks", "wide", "bare", *(f"source{i}" for i in range(BUCKETS)), *(f"lang{i}" for i in range(BUCKETS))]
+CONTENT = ["words", "distinct", "word_length", "upper", "repeated", "marked", "digits", "lines", "blanks", "wide", "bare"]
+METADATA = ["log_chars", *(f"source{i}" for i in range(BUCKETS)), *(f"lang{i}" for i in range(BUCKETS))]
 
 
-def content(text: str) -> list[float]:
-    """What the words show: how many differ, how long, in capitals, like the one before, ending in signs, with digits."""
+def content(text: str, weights: dict[str, float]) -> list[float]:
+    """What the text shows: the mean weight of its words; how many differ, how long, in capitals, like the one before, ending in
+    signs, with digits; line ends, blanks, bytes a character, words that are single signs."""
     words = text.split()
-    n = len(words) or 1
+    n, size = len(words) or 1, len(text) or 1
     return [
+        sum([weights.get(w[:WORD_CHARS], 0.0) for w in words]) / n,
         len(set(words)) / n,
         sum(map(len, words)) / n / 10,
         sum(map(str.isupper, words)) / n,
         sum(map(eq, words, words[1:])) / n,
-        sum(1 for w in words if not w[-1].isalnum()) / n,
+        sum([1 for w in words if not w[-1].isalnum()]) / n,
         sum(map(str.isdigit, words)) / n,
+        100 * text.count("\n") / size,
+        text.count(" ") / size,
+        len(text.encode("utf-8", "surrogatepass")) / size,
+        (text.count(" | ") + text.count("!")) / size * 10,
     ]
 
 
-def metadata(text: str, source: str | None, lang: str | None) -> list[float]:
-    """What the page shows from outside: length, lines, blanks, bytes a character, words that are single signs; source and language, hashed."""
-    n = len(text) or 1
-    out = [np.log1p(len(text)), 100 * text.count("\n") / n, text.count(" ") / n, len(text.encode("utf-8", "surrogatepass")) / n, (text.count(" | ") + text.count("!")) / n * 10]
+def metadata(n_chars: int | None, source: str | None, lang: str | None) -> list[float]:
+    """What is declared: the length; source and language, hashed."""
+    out = [float(np.log1p(max(n_chars or 0, 0)))]
     for value in (source, lang):
         bucket = [0.0] * BUCKETS
         if value is not None:
             bucket[xxhash.xxh64_intdigest(value) % BUCKETS] = 1.0
         out += bucket
-    return [float(x) for x in out]
+    return out
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``id`` and the two views' features (``content``, ``metadata``) of rows ``doc_id``, ``text``, ``source``, ``lang``."""
+def features(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``id`` and the two views' features (``content``, ``metadata``) of rows ``doc_id``, ``text``, ``source``, ``lang``, ``n_chars``; but
+    for the first two, columns may be missing."""
 
     def rows(source: Iterator[tuple]) -> Iterator[tuple]:
-        for key, text, origin, lang in source:
-            yield key, content(text or ""), metadata(text or "", origin, lang)
+        for key, text, origin, lang, n_chars in source:
+            yield key, content(text or "", weights), metadata(n_chars, origin, lang)
 
-    narrow = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), F.col("lang").cast("string"))
+    declared = [(F.col(c) if c in docs.columns else F.lit(None)).cast(kind) for c, kind in (("source", "string"), ("lang", "string"), ("n_chars", "bigint"))]
+    narrow = docs.select(F.col("doc_id").cast("long"), "text", *declared)
     kind = pa.list_(pa.float64())
     return arrow_rows(narrow, rows, "id bigint, content array<double>, metadata array<double>", [pa.int64(), kind, kind], 16384)
 
 
+def apart(id_column: Column) -> Column:
+    """Which labelled documents are kept for calibration."""
+    return F.pmod(F.xxhash64(F.lit("apart"), id_column), F.lit(5)) == 0
+
+
+def word_weights(docs: DataFrame, sample: DataFrame) -> dict[str, float]:
+    """Log odds ratios of the words that stand in clearly more of the good, or of the bad, labelled documents, the ones kept apart left out.
+
+    The driver gets ``WORDS`` words at most.
+    """
+
+    def held(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for text, good in rows:
+            for w in {w[:WORD_CHARS] for w in (text or "").split()}:
+                yield w, int(good > 0)
+
+    taught = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample.where(~apart(F.col("id")))), "id")
+    taught = cut(taught.groupBy("id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")))
+    sizes = Counter({bool(r.good): r.n for r in taught.groupBy((F.col("quality") > 0).alias("good")).agg(F.count("*").alias("n")).collect()})
+    good, bad = sizes[True], sizes[False]
+    if not good or not bad:
+        return {}
+    each = arrow_rows(taught.select("text", "quality"), held, "word string, good int", [pa.string(), pa.int32()], 32768)
+    counts = each.groupBy("word").agg(F.sum("good").alias("a"), F.sum(1 - F.col("good")).alias("b"))
+    pooled = (F.col("a") + F.col("b")) / (good + bad)
+    deviations = F.abs(F.col("a") / good - F.col("b") / bad) / F.sqrt(pooled * (1 - pooled) * (1 / good + 1 / bad) + 1e-12)
+    odds = F.log((F.col("a") + 0.5) / (good - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (bad - F.col("b") + 0.5))
+    chosen = counts.where(deviations >= DEVIATIONS).orderBy(F.desc(deviations), "word").limit(WORDS).select("word", odds.alias("odds")).collect()
+    return {r.word: r.odds for r in chosen}
+
+
 @dataclass
 class View:
     """A logistic regression over a view's features and their squares, all to one scale."""
@@ -91,8 +136,23 @@ class View:
         weights = regression(wide((x - mean) / spread), y, ridge)
         return cls(column, mean, spread, weights)
 
+    def wide(self, x: np.ndarray) -> np.ndarray:
+        return wide((x - self.mean) / self.spread)
+
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return self.slope * (wide((x - self.mean) / self.spread) @ self.weights) + self.shift
+        return self.slope * (self.wide(x) @ self.weights) + self.shift
+
+    def taught(self, x: np.ndarray, y: np.ndarray, lessons: DataFrame, steps: int = STEPS, ridge: float = 1.0) -> View:
+        """After Newton steps over labelled rows and ``lessons`` (the features, ``label``), classes of which weigh at most as much as their labelled rows."""
+        w, own = self.weights, self.wide(x)
+        for _ in range(steps):
+            now = View(self.column, self.mean, self.spread, w)
+            gradient, curve = newton_sums(own, y, w)
+            for label, (n, g, h) in enumerate(lesson_sums(lessons, now)):
+                share = min(1.0, float((y == label).sum()) / n) if n else 0.0
+                gradient, curve = gradient + share * g, curve + share * h
+            w = w - np.clip(np.linalg.solve(curve + ridge * np.eye(len(w)), gradient + ridge * w), -2, 2)
+        return View(self.column, self.mean, self.spread, w)
 
     def calibrated(self, x: np.ndarray, y: np.ndarray) -> View:
         """Slope and shift that fit the log odds to labels that the weights have not seen."""
@@ -138,60 +198,101 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
+def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the log loss."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x
+
+
+def _summed(batches: Iterator[pa.RecordBatch], view: View) -> Iterator[pa.RecordBatch]:
+    """For rows ``x``, ``label`` the count, gradient and curvature of each label, as one row of numbers with their places."""
+    d = len(view.weights)
+    totals = np.zeros((2, 1 + d + d * d))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = view.wide(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+        label = batch.column(1).to_numpy(zero_copy_only=False)
+        for one in (0, 1):
+            some = x[label == one]
+            g, h = newton_sums(some, np.full(len(some), float(one)), view.weights)
+            totals[one] += np.concatenate([[len(some)], g, h.ravel()])
+    if totals.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(totals.size, dtype=np.int32)), pa.array(totals.ravel())], names=["at", "s"])
+
+
+def lesson_sums(lessons: DataFrame, view: View) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Count, gradient and curvature over the lessons of labels 0 and 1; the driver gets as many numbers as one task makes."""
+    d = len(view.weights)
+    totals = np.zeros(2 * (1 + d + d * d))
+    for r in lessons.mapInArrow(partial(_summed, view=view), "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
+        totals[r["at"]] = r.s
+    return [(t[0], t[1 : d + 1], t[d + 1 :].reshape(d, d)) for t in totals.reshape(2, -1)]
+
+
 def labelled_ids(labels: DataFrame, limit: int) -> DataFrame:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("id"), "quality")
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").cast("long").alias("id"), "quality")
+
+
+@dataclass
+class Trained:
+    """Both calibrated views, and slope and shift of the sum of their log odds."""
+
+    content: View
+    metadata: View
+    slope: float
+    shift: float
+
+    def log_odds(self) -> Column:
+        return (self.content.log_odds() + self.metadata.log_odds()) * self.slope + self.shift
 
 
-def co_train(made: DataFrame, labels: DataFrame, limit: int = LABELLED, rounds: int = ROUNDS) -> tuple[View, View, float] | None:
-    """The two calibrated views and the log odds of a labelled document being good, or None if the sample lacks one of the classes.
+def co_train(made: DataFrame, sample: DataFrame, rounds: int = ROUNDS) -> Trained | None:
+    """The trained views, or None if the sample lacks one of the classes.
 
-    ``made`` is what ``features`` gives, written. The driver gets ``limit`` labelled rows and, in each
-    round, ``HANDED`` rows of either class from either view. Repeated ids count once in the sample, and
-    a label of 0 counts before a 1.
+    ``made`` is what ``features`` gives, ``sample`` what ``labelled_ids`` gives, both written. The driver gets the labelled rows and sums.
+    Repeated ids count once in the sample, and a label of 0 counts before a 1.
     """
-    sample = F.broadcast(cut(labelled_ids(labels, limit)))
-    once = made.join(sample, "id").groupBy("id").agg(F.first("quality").alias("quality"), F.min(F.struct("content", "metadata")).alias("x"))
-    rows = once.select("id", "quality", "x.*").toPandas().sort_values("id")
-    y = (rows.quality.to_numpy() > 0).astype(float)
-    apart = np.array([xxhash.xxh64_intdigest(str(i)) % 5 == 0 for i in rows.id], dtype=bool)
-    if min((y[~apart] > 0).sum(), (y[~apart] == 0).sum()) < 2 or min((y[apart] > 0).sum(), (y[apart] == 0).sum()) < 1:
+    once = made.join(F.broadcast(sample), "id").groupBy("id").agg(F.first("quality").alias("quality"), F.min(F.struct("content", "metadata")).alias("x"))
+    rows = once.select("id", "quality", "x.*", apart(F.col("id")).alias("apart")).toPandas().sort_values("id")
+    y, kept = (rows.quality.to_numpy() > 0).astype(float), rows.apart.to_numpy(dtype=bool)
+    if min((y[~kept] > 0).sum(), (y[~kept] == 0).sum()) < 2 or min((y[kept] > 0).sum(), (y[kept] == 0).sum()) < 1:
         return None
     x = {c: np.array(rows[c].tolist(), dtype=float) for c in ("content", "metadata")}
-    known = {c: (x[c][~apart], y[~apart]) for c in x}
-    unlabelled = made.join(sample, "id", "left_anti")
+    views = {c: View.fitted(c, x[c][~kept], y[~kept]) for c in x}
+    if rounds:
+        unlabelled = cut(made.join(F.broadcast(sample), "id", "left_anti").select("content", "metadata").distinct())
+    bound = float(np.log(SURE / (1 - SURE)))
+    given: dict[str, list[Column]] = {c: [] for c in views}
     for _ in range(rounds):
-        views = {c: View.fitted(c, *known[c]) for c in known}
+        odds = {c: views[c].log_odds() for c in views}
         for teacher, pupil in (("content", "metadata"), ("metadata", "content")):
-            odds = views[teacher].log_odds()
-            bound = float(np.log(SURE / (1 - SURE)))
-            scored = unlabelled.select(pupil, odds.alias("odds"), "id")
-            for label, order in ((1.0, F.desc("odds")), (0.0, F.asc("odds"))):
-                sure = scored.where(F.col("odds") >= bound if label else F.col("odds") <= -bound)
-                handed = [r[0] for r in sure.orderBy(order, "id").limit(HANDED).select(pupil).collect()]
-                if handed:
-                    before, was = known[pupil]
-                    known[pupil] = np.concatenate([before, np.array(handed)]), np.concatenate([was, np.full(len(handed), label)])
-    views = {c: View.fitted(c, *known[c]).calibrated(x[c][apart], y[apart]) for c in known}
-    return views["content"], views["metadata"], float(np.log(y.mean() / (1 - y.mean())))
+            # What a view was once taught stays: of its teacher's labels the first.
+            given[pupil].append(F.when(F.abs(odds[teacher]) >= bound, (odds[teacher] > 0).cast("int")))
+            lessons = unlabelled.select(pupil, F.coalesce(*given[pupil]).alias("label")).where("label IS NOT NULL")
+            views[pupil] = views[pupil].taught(x[pupil][~kept], y[~kept], lessons)
+    views = {c: v.calibrated(x[c][kept], y[kept]) for c, v in views.items()}
+    both = sum(views[c].odds(x[c][kept]) for c in views)
+    shift, slope = regression(np.stack([np.ones(len(both)), np.clip(both, -20, 20)], axis=1), y[kept], 0.1)
+    return Trained(views["content"], views["metadata"], float(slope), float(shift))
 
 
 def quality(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, rounds: int = ROUNDS) -> DataFrame:
     """``id``, ``content_score``, ``metadata_score``, ``quality`` (probabilities of being good) of each row.
 
-    Null texts are empty; repeated rows and null ids stay. Without labels of both classes all
-    scores are null.
+    Null texts are empty; repeated rows and null ids stay; an empty table gives none; missing or null metadata is a value of its own; texts are
+    read whole, one at a time, however long. Without labels of both classes all scores are null.
     """
-    made = cut(features(docs))
-    trained = co_train(made, labels, limit, rounds)
+    sample = cut(labelled_ids(labels, limit))
+    made = cut(features(docs, word_weights(docs, sample)))
+    trained = co_train(made, sample, rounds)
     if trained is None:
         nothing = F.lit(None).cast("double")
         return made.select("id", nothing.alias("content_score"), nothing.alias("metadata_score"), nothing.alias("quality"))
     chance = lambda odds: F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-    a, b, prior = trained[0].log_odds(), trained[1].log_odds(), trained[2]
-    scored = made.select("id", a.alias("a"), b.alias("b"))
-    # The odds of either view hold the share of good documents; their sum is to hold it once.
-    return scored.select("id", chance(F.col("a")).alias("content_score"), chance(F.col("b")).alias("metadata_score"), chance(F.col("a") + F.col("b") - prior).alias("quality"))
+    scores = {"content_score": trained.content, "metadata_score": trained.metadata, "quality": trained}
+    return made.select("id", *[chance(v.log_odds()).alias(name) for name, v in scores.items()])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
