@@ -17,13 +17,13 @@ meets a string with another anchor. Neighbouring strings with the same anchor ma
   are dealt anew by what all strings in a block of offsets share, and at last one by one.
 
 Passages of ``WORDS`` words are found beside them, of any number of bytes, by the same steps: windows of words,
-anchors of ``GRAM_WORDS`` words, whole contexts by XXH128; what is left is compared window by window.
+anchors of ``GRAM_WORDS`` words, whole contexts by XXH128; of what is left, the windows of an anchor are compared by their XXH128.
 These are reported, not removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -38,7 +38,7 @@ from siftline.llm.common import arrow_rows, cut, joined_with_hot, table
 LENGTH = 400
 GRAM = 100
 #: Words of a repeated passage, and of its anchor.
-WORDS, GRAM_WORDS = 50, 12
+WORDS, GRAM_WORDS = 50, 8
 #: Different contexts of an anchor that go into one index, each of under 2 * LENGTH bytes.
 INDEXED = 4000
 #: Offsets that share a block when an anchor is taken apart, then each offset alone.
@@ -216,14 +216,19 @@ def _apart(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             yield batch_of([np.full(n, OF_BYTES), core.view(np.int64), *u, np.full(n, k), b_lo, b_hi, np.full(n, at), b_hi + LENGTH], PLACED_TYPES, PLACED)
 
 
+def windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of words begin and end."""
+    first, last = word_edges(np.frombuffer(text, dtype=np.uint8), np.array([0]), np.array([len(text)]))
+    return first[: len(first) - WORDS + 1], last[WORDS - 1 :]
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of words of the contexts ``k``, ``lo``, ``data``, with its XXH128."""
     for batch in batches:
         for k, lo, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = np.frombuffer(text, dtype=np.uint8)
-            first, last = word_edges(data, np.array([0]), np.array([len(data)]))
-            first, last = first[: len(first) - WORDS + 1], last[WORDS - 1 :]
-            yield batch_of([*strong(data, first, last), np.full(len(first), k), first + lo, last + lo], [pa.int64()] * 3 + [pa.int32()] * 2, "u1 bigint, u2 bigint, k bigint, lo int, upto int")
+            first, last = windows(text)
+            u = strong(np.frombuffer(text, dtype=np.uint8), first, last)
+            yield batch_of([*u, np.full(len(first), k), first + lo, last + lo], [pa.int64()] * 3 + [pa.int32()] * 2, "u1 bigint, u2 bigint, k bigint, lo int, upto int")
 
 
 class RunIndex:
@@ -302,22 +307,23 @@ class RunIndex:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated strings in rows ``a``, ``k``, ``lo``, ``data`` that come in order of ``a``; whole anchors share an index."""
+def _gathered(batches: Iterator[pa.RecordBatch], marked: Callable[[list[tuple]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What ``marked`` finds in rows ``a``, ``k``, ``lo``, ``data`` that come in order of ``a``, of whole anchors, about ``CHUNK`` bytes at a time."""
     held: list[tuple] = []
     size = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if size >= CHUNK and row[0] != held[-1][0]:
-                yield from _marked(held)
+                yield from marked(held)
                 held, size = [], 0
             held.append(row)
             size += len(row[3])
     if held:
-        yield from _marked(held)
+        yield from marked(held)
 
 
 def _marked(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Strings that the run index of these contexts finds twice."""
     index = RunIndex([row[3] for row in held])
     lo, hi = index.long_matches(LENGTH)
     if len(lo):
@@ -327,6 +333,22 @@ def _marked(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield batch_of([np.full(len(k), OF_BYTES), k, lo + shift, hi + shift + LENGTH], FOUND_TYPES, FOUND)
 
 
+def _marked_words(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Windows of words that stand twice in these contexts; neighbours make one stretch."""
+    edges = [windows(row[3]) for row in held]
+    u = np.concatenate([np.stack(strong(np.frombuffer(row[3], dtype=np.uint8), *e), axis=1) for row, e in zip(held, edges, strict=True)])
+    _, which, n = np.unique(u.view("V16").ravel(), return_inverse=True, return_counts=True)
+    twice = n[which] > 1
+    context = np.repeat(np.arange(len(held)), [len(e[0]) for e in edges])
+    first, last = (np.concatenate([e[i] for e in edges]) for i in (0, 1))
+    here = np.flatnonzero(twice)
+    if len(here):
+        parts = np.flatnonzero(np.concatenate([[True], (np.diff(here) > 1) | (np.diff(context[here]) > 0)]))
+        begin, end = here[parts], here[np.concatenate([parts[1:] - 1, [len(here) - 1]])]
+        k, lo = (np.array([row[i] for row in held], dtype=np.int64)[context[begin]] for i in (1, 2))
+        yield batch_of([np.full(len(k), OF_WORDS), k, first[begin] + lo, last[end] + lo], FOUND_TYPES, FOUND)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``k``, ``id``, ``text`` with the text compressed, as it will be written and shuffled."""
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -367,11 +389,13 @@ def repeated(texts: DataFrame) -> DataFrame:
             part = F.substring(F.col("whole"), F.col("lo") - F.col("from") + 1, F.col("upto") - F.col("lo"))
             fetched = open_.join(inner, "k").where("from <= lo AND upto <= end").select("kind", "a", "d", "k", "lo", "hi", "at", "upto", part.alias("data"))
         fetched = cut(fetched)
-        of_bytes = fetched.where(F.col("kind") == OF_BYTES)
-        few = of_bytes.where(F.col("d") <= INDEXED).select("a", "k", "lo", "data")
-        found.append(few.repartition("a").sortWithinPartitions("a").mapInArrow(_indexed, FOUND))
-        if stored is None:
-            found.append(repeated_windows(fetched.where(F.col("kind") == OF_WORDS)))
+        of_bytes, of_words = (fetched.where(F.col("kind") == kind) for kind in (OF_BYTES, OF_WORDS))
+        for some, marked in ((of_bytes, _marked), (of_words, _marked_words)):
+            few = some.where(F.col("d") <= INDEXED).select("a", "k", "lo", "data")
+            found.append(few.repartition("a").sortWithinPartitions("a").mapInArrow(partial(_gathered, marked=marked), FOUND))
+        many_words = of_words.where(F.col("d") > INDEXED)
+        if not many_words.isEmpty():
+            found.append(repeated_windows(many_words))
         stored = of_bytes.where(F.col("d") > INDEXED).select("a", "k", "lo", "hi", "at", "upto", "data")
         if width is None or stored.isEmpty():
             break
@@ -381,13 +405,10 @@ def repeated(texts: DataFrame) -> DataFrame:
 
 
 def repeated_windows(fetched: DataFrame) -> DataFrame:
-    """The windows of words that stand in several of the contexts left over, or in a context that stands several times.
-
-    A context that is left over once may share windows with one that is repeated whole; ``fetched`` has one of each.
-    """
-    windows = cut(fetched.select("k", "lo", "data").mapInArrow(_windows, "u1 bigint, u2 bigint, k bigint, lo int, upto int"))
-    counts = cut(windows.groupBy("u1", "u2").agg(F.count("*").alias("n")).where("n > 1"))
-    met = joined_with_hot(windows, counts, ["u1", "u2"], "n", [], F.xxhash64("k", "lo"))
+    """The windows of words that stand in several of the contexts of anchors with many, window by window."""
+    each = cut(fetched.select("k", "lo", "data").mapInArrow(_windows, "u1 bigint, u2 bigint, k bigint, lo int, upto int"))
+    counts = cut(each.groupBy("u1", "u2").agg(F.count("*").alias("n")).where("n > 1"))
+    met = joined_with_hot(each, counts, ["u1", "u2"], "n", [], F.xxhash64("k", "lo"))
     return met.select(F.lit(OF_WORDS).alias("kind"), "k", "lo", "upto")
 
 
