@@ -126,7 +126,8 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data) - GRAM + 1
     gram = Hashes(data).of(slice(0, n), slice(GRAM, GRAM + n))
     start = np.arange(len(data) - LENGTH + 1)
-    lo, hi, at = runs(gram, LENGTH - GRAM + 1, start + LENGTH <= ends[np.searchsorted(ends, start, side="right")])
+    end = np.repeat(ends, np.diff(ends, prepend=0))[: len(start)]
+    lo, hi, at = runs(gram, LENGTH - GRAM + 1, start + LENGTH <= end)
     return gram[at].view(np.int64), lo, hi, at, hi + LENGTH
 
 
@@ -253,7 +254,7 @@ class RunIndex:
             key = key << 9 | symbol
         longest = int(sizes.max(initial=0))
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             climbs = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])]) if n else np.empty(0, np.int64)
             rank = np.empty(n, dtype=np.int32)
             rank[order] = climbs + 1
@@ -265,6 +266,7 @@ class RunIndex:
             second[self.left <= reach] = 0
             key = rank.astype(np.int64) * (n + 1) + second
             reach *= 2
+        order = np.argsort(rank.astype(np.int64) * n + np.arange(n))
         before = np.empty(n, dtype=np.int64)  # the symbol before each suffix; a text's start has one of its own
         before[1:] = self.data[:-1]
         before[self.begins] = -1 - np.arange(len(texts))
