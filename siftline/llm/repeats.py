@@ -158,46 +158,70 @@ def word_contexts(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Ite
         yield (gram[at] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64), begin[lo], begin[hi], begin[at], stop[hi + WORDS - 1]
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Keys and texts of rows ``k``, ``packed``, as many as have ``CHUNK`` bytes together, or one longer text."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """Keys and texts of rows ``k``, ``packed``, as many as have ``CHUNK`` bytes together, or one longer text; and all ``anchors`` of these, if there are such."""
     unpack = zstandard.ZstdDecompressor().decompress
-    keys: list[int] = []
-    texts: list[bytes] = []
+    held: list[tuple] = []
     size = 0
+
+    def told() -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        keys, texts, anchors = zip(*held, strict=True)
+        return np.array(keys, dtype=np.int64), list(texts), np.concatenate(anchors)
+
     for batch in batches:
-        for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        lists = [a.values.to_numpy() for a in batch.column(2)] if batch.num_columns > 2 else [np.empty(0, np.int64)] * batch.num_rows
+        for key, data, anchors in zip(batch.column(0).to_pylist(), batch.column(1), lists, strict=True):
             text = unpack(data.as_py())
-            if texts and size + len(text) > CHUNK:
-                yield np.array(keys, dtype=np.int64), texts
-                keys, texts, size = [], [], 0
-            keys.append(key)
-            texts.append(text)
+            if held and size + len(text) > CHUNK:
+                yield told()
+                held, size = [], 0
+            held.append((key, text, anchors))
             size += len(text)
-    if texts:
-        yield np.array(keys, dtype=np.int64), texts
-
-
-def _placed(batches: Iterator[pa.RecordBatch], anchors_only: bool) -> Iterator[pa.RecordBatch]:
-    """The contexts of rows ``k``, ``packed``, or just their anchors; long texts in overlapping stretches."""
-    for key, texts in _stretches(batches):
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        ends = np.cumsum([len(t) for t in texts])
-        begins = ends - [len(t) for t in texts]
-        found = []
-        for skip in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
-            some = data[skip : skip + CHUNK + LENGTH - 1]
-            a, *places = contexts(some, np.minimum(np.maximum(ends - skip, 0), len(some)) if len(texts) == 1 else ends)
-            found.append((OF_BYTES, a, *[p + skip for p in places]))
-        found += [(OF_WORDS, *c) for c in word_contexts(data, begins, ends)]
-        for kind, a, lo, hi, at, upto in found:
-            if not len(a):
-                continue
-            if anchors_only:
+    if held:
+        yield told()
+
+
+def _contexts(keys: np.ndarray, texts: list[bytes]) -> Iterator[tuple]:
+    """Kind, anchors' hashes, texts' numbers and places of all contexts of some texts; long texts in overlapping stretches."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    begins = ends - [len(t) for t in texts]
+    found = []
+    for skip in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
+        some = data[skip : skip + CHUNK + LENGTH - 1]
+        a, *places = contexts(some, np.minimum(np.maximum(ends - skip, 0), len(some)) if len(texts) == 1 else ends)
+        found.append((OF_BYTES, a, *[p + skip for p in places]))
+    found += [(OF_WORDS, *c) for c in word_contexts(data, begins, ends)]
+    for kind, a, *places in found:
+        if len(a):
+            yield kind, a, np.searchsorted(ends, places[0], side="right"), places, data, begins
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], of_rows: bool) -> Iterator[pa.RecordBatch]:
+    """The anchors of rows ``k``, ``packed``, each as often as it has contexts; with ``of_rows`` once a row, and with its ``k``."""
+    for key, texts, _ in _stretches(batches):
+        for _, a, doc, *_ in _contexts(key, texts):
+            if not of_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(a)], names=["a"])
                 continue
-            doc = np.searchsorted(ends, lo, side="right")
-            back = begins[doc]
-            yield batch_of([np.full(len(a), kind), a, *strong(data, lo, upto), key[doc], *(x - back for x in (lo, hi, at, upto))], PLACED_TYPES, PLACED)
+            order = np.lexsort((a, doc))
+            a, doc = a[order], doc[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(key[doc[new]])], names=["a", "k"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts of rows ``k``, ``packed``, ``anchors`` that have one of the anchors.
+
+    Rows are read together; an anchor that one of them has in common with others is in the list of each that has it.
+    """
+    for key, texts, anchors in _stretches(batches):
+        for kind, a, doc, places, data, begins in _contexts(key, texts):
+            wanted = np.isin(a, anchors)
+            a, doc, (lo, hi, at, upto) = a[wanted], doc[wanted], (p[wanted] for p in places)
+            if len(a):
+                back = begins[doc]
+                yield batch_of([np.full(len(a), kind), a, *strong(data, lo, upto), key[doc], *(x - back for x in (lo, hi, at, upto))], PLACED_TYPES, PLACED)
 
 
 def _apart(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -371,13 +395,14 @@ def repeated(texts: DataFrame) -> DataFrame:
     """``kind``, ``k``, ``lo``, ``upto``: stretches, in bytes, of repeated strings and passages in rows ``k``, ``packed``, which are written."""
     found: list[DataFrame] = []
     narrow = texts.select("k", "packed")
-    anchors = narrow.mapInArrow(partial(_placed, anchors_only=True), "a bigint")
-    placed = narrow.mapInArrow(partial(_placed, anchors_only=False), PLACED)
-    stored = None
     place = F.xxhash64("k", "lo")
+    common = _common(narrow.mapInArrow(partial(_anchors, of_rows=False), "a bigint"))
+    rows = joined_with_hot(narrow.mapInArrow(partial(_anchors, of_rows=True), "a bigint, k bigint"), common, ["a"], "n", [], F.xxhash64("k"))
+    # Written first, so that what is joined with the texts is as small as it turns out to be.
+    of_row = cut(rows.groupBy("k").agg(F.collect_set("a").alias("anchors")))
+    shared = cut(narrow.join(of_row, "k").mapInArrow(_placed, PLACED))
+    stored = None
     for width in (*BLOCKS, None):
-        common = cut(anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
-        shared = cut(joined_with_hot(placed, common, ["a"], "n", [], place))
         same = cut(shared.groupBy("kind", "a", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "hi", "at", "upto")).alias("one")))
         twice = same.where("n > 1").select("a", "u1", "u2", "n")
         found.append(joined_with_hot(shared, twice, ["a", "u1", "u2"], "n", [], place).select("kind", "k", "lo", "upto"))
@@ -402,10 +427,14 @@ def repeated(texts: DataFrame) -> DataFrame:
         if width is None or stored.isEmpty():
             break
         placed = stored.select("a", "k", "lo", "hi", "at", "data").mapInArrow(partial(_apart, width=width), PLACED)
-        anchors = placed
+        shared = cut(joined_with_hot(placed, _common(placed), ["a"], "n", [], place))
     return reduce(DataFrame.union, found)
 
 
+def _common(anchors: DataFrame) -> DataFrame:
+    return cut(anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
+
+
 def repeated_windows(fetched: DataFrame) -> DataFrame:
     """The windows of words that stand in several of the contexts of anchors with many, window by window."""
     each = cut(fetched.select("k", "lo", "data").mapInArrow(_windows, "u1 bigint, u2 bigint, k bigint, lo int, upto int"))

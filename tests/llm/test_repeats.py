@@ -75,7 +75,9 @@ def test_stretches_of_a_long_text(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(packed, type=pa.binary())], names=["k", "packed"])
 
     def covered():
-        rows = [r for b in repeats._placed(iter([batch]), False) for r in b.to_pylist()]
+        pairs = [r for b in repeats._anchors(iter([batch]), True) for r in b.to_pylist()]
+        anchors = pa.array([[r["a"] for r in pairs if r["k"] == k] for k in (1, 2, 3)], type=pa.list_(pa.int64()))
+        rows = [r for b in repeats._placed(iter([batch.append_column("anchors", anchors)])) for r in b.to_pylist()]
         of_bytes = {(r["k"], p) for r in rows if r["kind"] == repeats.OF_BYTES for p in range(r["lo"], r["hi"] + 1)}
         of_words = {p for r in rows if r["kind"] == repeats.OF_WORDS for p in range(r["lo"], r["upto"])}
         return of_bytes, of_words
