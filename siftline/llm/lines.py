@@ -24,11 +24,9 @@ def line_key(line: Column) -> Column:
 
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, id_column: str, text_column: str) -> DataFrame:
     """``k`` of each row that loses lines, with the sorted positions of these lines."""
-    lines = docs.select(
-        row_key(id_column, text_column).alias("k"),
-        F.col(id_column).alias("id"),
-        F.posexplode(F.split(F.col(text_column), "\n", -1)).alias("pos", "line"),
-    ).select("k", "id", "pos", line_key(F.col("line")).alias("key"))
+    # The key is made once a row, before its lines are taken apart.
+    keyed = docs.select(row_key(id_column, text_column).alias("k"), F.col(id_column).alias("id"), F.split(F.col(text_column), "\n", -1).alias("lines"))
+    lines = keyed.select("k", "id", F.posexplode("lines").alias("pos", "line")).select("k", "id", "pos", line_key(F.col("line")).alias("key"))
     # A null id is one document more, below all others.
     doc = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("doc")
     hashed = lines.where(F.char_length("key") >= min_chars).select(
