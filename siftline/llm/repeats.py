@@ -43,8 +43,8 @@ WORDS, GRAM_WORDS = 50, 8
 INDEXED = 4000
 #: Offsets that share a block when an anchor is taken apart, then each offset alone.
 BLOCKS = (24, 1)
-#: Bytes of text that are hashed, or indexed, at a time; words at a time.
-CHUNK, CHUNK_WORDS = 1 << 20, 100_000
+#: Bytes of text that are hashed at a time, words, and bytes that are indexed.
+CHUNK, CHUNK_WORDS, INDEX_BYTES = 1 << 18, 40_000, 1 << 18
 #: What contexts are of.
 OF_BYTES, OF_WORDS = 0, 1
 
@@ -118,13 +118,13 @@ def runs(gram: np.ndarray, width: int, whole: np.ndarray) -> tuple[np.ndarray, .
     return start[first], start[last], owner[first]
 
 
-def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def contexts(data: np.ndarray, ends: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, ...]:
     """Anchors' hashes, first and last starts, anchors' places and ends of all contexts in a buffer of texts."""
     none = np.empty(0, dtype=np.int64)
     if len(data) < LENGTH:
         return (none,) * 5
     n = len(data) - GRAM + 1
-    gram = Hashes(data).of(slice(0, n), slice(GRAM, GRAM + n))
+    gram = hashes.of(slice(0, n), slice(GRAM, GRAM + n))
     start = np.arange(len(data) - LENGTH + 1)
     end = np.repeat(ends, np.diff(ends, prepend=0))[: len(start)]
     lo, hi, at = runs(gram, LENGTH - GRAM + 1, start + LENGTH <= end)
@@ -144,14 +144,14 @@ def word_edges(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_contexts(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """As ``contexts`` for windows of words, so many words at a time; places are in bytes."""
+def word_contexts(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, hashes: Hashes | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """As ``contexts`` for windows of words, so many words at a time; places are in bytes. ``hashes`` are of all the data, if it is not long."""
     first, last = word_edges(data, begins, ends)
     for w in range(0, len(first) - WORDS + 1, CHUNK_WORDS):
         begin, stop = first[w : w + CHUNK_WORDS + WORDS - 1], last[w : w + CHUNK_WORDS + WORDS - 1]
-        skip = begin[0]
+        skip = 0 if hashes else begin[0]
         n = len(begin) - GRAM_WORDS + 1
-        gram = Hashes(data[skip : stop[-1]]).of(begin[:n] - skip, stop[GRAM_WORDS - 1 :] - skip)
+        gram = (hashes or Hashes(data[skip : stop[-1]])).of(begin[:n] - skip, stop[GRAM_WORDS - 1 :] - skip)
         whole = np.searchsorted(ends, begin[: len(begin) - WORDS + 1], side="right") == np.searchsorted(ends, begin[WORDS - 1 :], side="right")
         lo, hi, at = runs(gram, WORDS - GRAM_WORDS + 1, whole)
         # Anchors of words are not to meet anchors of bytes.
@@ -189,9 +189,10 @@ def _contexts(keys: np.ndarray, texts: list[bytes]) -> Iterator[tuple]:
     found = []
     for skip in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
         some = data[skip : skip + CHUNK + LENGTH - 1]
-        a, *places = contexts(some, np.minimum(np.maximum(ends - skip, 0), len(some)) if len(texts) == 1 else ends)
+        hashes = Hashes(some)
+        a, *places = contexts(some, np.minimum(np.maximum(ends - skip, 0), len(some)) if len(texts) == 1 else ends, hashes)
         found.append((OF_BYTES, a, *[p + skip for p in places]))
-    found += [(OF_WORDS, *c) for c in word_contexts(data, begins, ends)]
+    found += [(OF_WORDS, *c) for c in word_contexts(data, begins, ends, hashes if len(some) == len(data) else None)]
     for kind, a, *places in found:
         if len(a):
             yield kind, a, np.searchsorted(ends, places[0], side="right"), places, data, begins
@@ -241,19 +242,21 @@ def _apart(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             yield batch_of([np.full(n, OF_BYTES), core.view(np.int64), *u, np.full(n, k), b_lo, b_hi, np.full(n, at), b_hi + LENGTH], PLACED_TYPES, PLACED)
 
 
-def windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows of words begin and end."""
-    first, last = word_edges(np.frombuffer(text, dtype=np.uint8), np.array([0]), np.array([len(text)]))
-    return first[: len(first) - WORDS + 1], last[WORDS - 1 :]
+def windows(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of words begin and end in a buffer of texts."""
+    first, last = word_edges(data, begins, ends)
+    first, last = first[: max(0, len(first) - WORDS + 1)], last[WORDS - 1 :]
+    whole = np.searchsorted(ends, first, side="right") == np.searchsorted(ends, last - 1, side="right")
+    return first[whole], last[whole]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of words of the contexts ``k``, ``lo``, ``data``, with its XXH128."""
     for batch in batches:
         for k, lo, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            first, last = windows(text)
-            u = strong(np.frombuffer(text, dtype=np.uint8), first, last)
-            yield batch_of([*u, np.full(len(first), k), first + lo, last + lo], [pa.int64()] * 3 + [pa.int32()] * 2, "u1 bigint, u2 bigint, k bigint, lo int, upto int")
+            data = np.frombuffer(text, dtype=np.uint8)
+            first, last = windows(data, np.array([0]), np.array([len(data)]))
+            yield batch_of([*strong(data, first, last), np.full(len(first), k), first + lo, last + lo], [pa.int64()] * 3 + [pa.int32()] * 2, "u1 bigint, u2 bigint, k bigint, lo int, upto int")
 
 
 class RunIndex:
@@ -334,12 +337,12 @@ class RunIndex:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], marked: Callable[[list[tuple]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """What ``marked`` finds in rows ``a``, ``k``, ``lo``, ``data`` that come in order of ``a``, of whole anchors, about ``CHUNK`` bytes at a time."""
+    """What ``marked`` finds in rows ``a``, ``k``, ``lo``, ``data`` that come in order of ``a``, of whole anchors, about ``INDEX_BYTES`` bytes at a time."""
     held: list[tuple] = []
     size = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size >= CHUNK and row[0] != held[-1][0]:
+            if size >= INDEX_BYTES and row[0] != held[-1][0]:
                 yield from marked(held)
                 held, size = [], 0
             held.append(row)
@@ -361,18 +364,22 @@ def _marked(held: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 def _marked_words(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Windows of words that stand twice in these contexts; neighbours make one stretch."""
-    edges = [windows(row[3]) for row in held]
-    u = np.concatenate([np.stack(strong(np.frombuffer(row[3], dtype=np.uint8), *e), axis=1) for row, e in zip(held, edges, strict=True)])
-    _, which, n = np.unique(u.view("V16").ravel(), return_inverse=True, return_counts=True)
-    twice = n[which] > 1
-    context = np.repeat(np.arange(len(held)), [len(e[0]) for e in edges])
-    first, last = (np.concatenate([e[i] for e in edges]) for i in (0, 1))
+    data = np.frombuffer(b"".join([row[3] for row in held]), dtype=np.uint8)
+    ends = np.cumsum([len(row[3]) for row in held])
+    begins = np.concatenate([[0], ends[:-1]])
+    first, last = windows(data, begins, ends)
+    u, v = strong(data, first, last)
+    order = np.argsort(u)
+    same = (u[order][1:] == u[order][:-1]) & (v[order][1:] == v[order][:-1])
+    twice = np.zeros(len(u), dtype=bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
     here = np.flatnonzero(twice)
     if len(here):
-        parts = np.flatnonzero(np.concatenate([[True], (np.diff(here) > 1) | (np.diff(context[here]) > 0)]))
-        begin, end = here[parts], here[np.concatenate([parts[1:] - 1, [len(here) - 1]])]
-        k, lo = (np.array([row[i] for row in held], dtype=np.int64)[context[begin]] for i in (1, 2))
-        yield batch_of([np.full(len(k), OF_WORDS), k, first[begin] + lo, last[end] + lo], FOUND_TYPES, FOUND)
+        context = np.searchsorted(ends, first[here], side="right")
+        parts = np.flatnonzero(np.concatenate([[True], (np.diff(here) > 1) | (np.diff(context) > 0)]))
+        begin, end, of = here[parts], here[np.concatenate([parts[1:] - 1, [len(here) - 1]])], context[parts]
+        k, lo = (np.array([row[i] for row in held], dtype=np.int64)[of] for i in (1, 2))
+        yield batch_of([np.full(len(k), OF_WORDS), k, first[begin] - begins[of] + lo, last[end] - begins[of] + lo], FOUND_TYPES, FOUND)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
