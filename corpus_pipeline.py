@@ -7,11 +7,11 @@ null ids and repeated rows are each decided by their own text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import bpe, decontaminate, lines, simhash, toxicity
-from siftline.llm.common import ensure_checkpoint_dir, row_key, table
+from siftline.llm.common import row_key, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = simhash.similar_texts(docs)
     kept = groups.where(F.col("k") == F.col("keeper")).select("k")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("k"))
-    staying = keyed.join(kept, "k", "left_semi")
-    first = F.row_number().over(Window.partitionBy("k").orderBy(F.to_json("row")))
-    return staying.withColumn("first", first).where("first = 1").select("row.*")
+    # Rows of one key differ in their other columns alone; which stays is settled as they are added up, however many there are.
+    one = keyed.join(kept, "k", "left_semi").groupBy("k").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +68,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each but the last written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus_pipeline-{spark.sql('SELECT uuid()').head()[0]}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each but the last written to the shared folder and read again; what a stage wrote goes once the next has written."""
+    folder = shared_folder(spark, "corpus_pipeline")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        now = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(now)
+        if before:
+            forget(spark, before)
+        docs, before = spark.read.parquet(now), now
     return STAGES[-1][1](spark, docs, sf_dir)
