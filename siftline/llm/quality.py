@@ -142,13 +142,13 @@ class View:
     def odds(self, x: np.ndarray) -> np.ndarray:
         return self.slope * (self.wide(x) @ self.weights) + self.shift
 
-    def taught(self, x: np.ndarray, y: np.ndarray, lessons: DataFrame, steps: int = STEPS, ridge: float = 1.0) -> View:
-        """After Newton steps over labelled rows and ``lessons`` (the features, ``label``), classes of which weigh at most as much as their labelled rows."""
+    def taught(self, x: np.ndarray, y: np.ndarray, rows: DataFrame, teachers: list[View], steps: int = STEPS, ridge: float = 1.0) -> View:
+        """After Newton steps over labelled rows and over those of ``rows`` that a teacher is sure of; classes of these weigh at most as much as their labelled rows."""
         w, own = self.weights, self.wide(x)
         for _ in range(steps):
             now = View(self.column, self.mean, self.spread, w)
             gradient, curve = newton_sums(own, y, w)
-            for label, (n, g, h) in enumerate(lesson_sums(lessons, now)):
+            for label, (n, g, h) in enumerate(lesson_sums(rows, now, teachers)):
                 share = min(1.0, float((y == label).sum()) / n) if n else 0.0
                 gradient, curve = gradient + share * g, curve + share * h
             w = w - np.clip(np.linalg.solve(curve + ridge * np.eye(len(w)), gradient + ridge * w), -2, 2)
@@ -204,28 +204,34 @@ def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
     return x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x
 
 
-def _summed(batches: Iterator[pa.RecordBatch], view: View) -> Iterator[pa.RecordBatch]:
-    """For rows ``x``, ``label`` the count, gradient and curvature of each label, as one row of numbers with their places."""
-    d = len(view.weights)
+def _summed(batches: Iterator[pa.RecordBatch], view: View, teachers: list[View]) -> Iterator[pa.RecordBatch]:
+    """For rows of the pupil's and the teachers' features the count, gradient and curvature of each label, as numbers with their places.
+
+    A row's label is that of the first teacher that is sure of it; without one it teaches nothing.
+    """
+    d, bound = len(view.weights), float(np.log(SURE / (1 - SURE)))
     totals = np.zeros((2, 1 + d + d * d))
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = view.wide(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-        label = batch.column(1).to_numpy(zero_copy_only=False)
-        for one in (0, 1):
-            some = x[label == one]
+        own, theirs = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i in (0, 1))
+        odds = np.zeros(batch.num_rows)
+        for teacher in teachers:
+            odds = np.where(np.abs(odds) >= bound, odds, teacher.odds(theirs))
+        x = view.wide(own)
+        for one, some in ((0, x[odds <= -bound]), (1, x[odds >= bound])):
             g, h = newton_sums(some, np.full(len(some), float(one)), view.weights)
             totals[one] += np.concatenate([[len(some)], g, h.ravel()])
     if totals.any():
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(totals.size, dtype=np.int32)), pa.array(totals.ravel())], names=["at", "s"])
 
 
-def lesson_sums(lessons: DataFrame, view: View) -> list[tuple[float, np.ndarray, np.ndarray]]:
+def lesson_sums(rows: DataFrame, view: View, teachers: list[View]) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """Count, gradient and curvature over the lessons of labels 0 and 1; the driver gets as many numbers as one task makes."""
     d = len(view.weights)
     totals = np.zeros(2 * (1 + d + d * d))
-    for r in lessons.mapInArrow(partial(_summed, view=view), "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
+    narrow = rows.select(view.column, teachers[0].column)
+    for r in narrow.mapInArrow(partial(_summed, view=view, teachers=teachers), "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
         totals[r["at"]] = r.s
     return [(t[0], t[1 : d + 1], t[d + 1 :].reshape(d, d)) for t in totals.reshape(2, -1)]
 
@@ -263,15 +269,12 @@ def co_train(made: DataFrame, sample: DataFrame, rounds: int = ROUNDS) -> Traine
     views = {c: View.fitted(c, x[c][~kept], y[~kept]) for c in x}
     if rounds:
         unlabelled = cut(made.join(F.broadcast(sample), "id", "left_anti").select("content", "metadata").distinct())
-    bound = float(np.log(SURE / (1 - SURE)))
-    given: dict[str, list[Column]] = {c: [] for c in views}
+    # What a view was once taught stays: its teacher as it was in each round.
+    taught_by: dict[str, list[View]] = {"content": [], "metadata": []}
     for _ in range(rounds):
-        odds = {c: views[c].log_odds() for c in views}
-        for teacher, pupil in (("content", "metadata"), ("metadata", "content")):
-            # What a view was once taught stays: of its teacher's labels the first.
-            given[pupil].append(F.when(F.abs(odds[teacher]) >= bound, (odds[teacher] > 0).cast("int")))
-            lessons = unlabelled.select(pupil, F.coalesce(*given[pupil]).alias("label")).where("label IS NOT NULL")
-            views[pupil] = views[pupil].taught(x[pupil][~kept], y[~kept], lessons)
+        taught_by["content"].append(views["metadata"])
+        taught_by["metadata"].append(views["content"])
+        views = {c: views[c].taught(x[c][~kept], y[~kept], unlabelled, taught_by[c]) for c in views}
     views = {c: v.calibrated(x[c][kept], y[kept]) for c, v in views.items()}
     both = sum(views[c].odds(x[c][kept]) for c in views)
     shift, slope = regression(np.stack([np.ones(len(both)), np.clip(both, -20, 20)], axis=1), y[kept], 0.1)
