@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# How a version reads in a text, and which suffixes mark a final release.
+# How a version reads in a text, which suffixes mark a final release, how many minor lines to try after a jump.
 VERSION = r"(?<![\w.])v?(\d+(?:\.\d+)+)(?:[.-]?([A-Za-z]+)\.?(\d*))?(?![\w])"
 FINAL = ["", "final", "release", "ga"]
+LINES_TRIED = 10
 
 
 def version_numbers(text: Column) -> Column:
@@ -18,22 +19,27 @@ def version_numbers(text: Column) -> Column:
     return F.when(found != "", padded)
 
 
-def is_final(text: Column) -> Column:
-    return F.lower(F.regexp_extract(text, VERSION, 2)).isin(FINAL)
-
-
-def line(numbers: Column) -> Column:
-    """The line of a version, major and minor, as a struct that sorts."""
-    return F.struct(F.get(numbers, F.lit(0)).alias("major"), F.get(numbers, F.lit(1)).alias("minor"))
-
-
-def on_the_way(numbers: Column, start: Column, end: Column) -> Column:
-    """Above ``start`` and up to ``end``; when the line changes, later patches of the old line are not."""
-    return (numbers > start) & (numbers <= end) & ((line(start) == line(end)) | (line(numbers) > line(start)))
-
-
 def relevant(text: Column, start: Column, end: Column) -> Column:
-    """Whether the release that a text names matters: final ones on the way, others only as the first of a new line."""
+    """Whether the release that a text names matters on the way from ``start`` to ``end`` (arrays of numbers).
+
+    Arrays compare from left to right, and a line is an array's first two numbers. A final release matters above ``start`` and up to
+    ``end``, a patch of the old line only where that is the line of ``end``, too. A release before the final one matters as the first
+    of a later line.
+    """
     n = version_numbers(text)
-    first_of_line = F.forall(F.slice(n, F.lit(3), F.size(n)), lambda x: x == 0) & (line(n) > line(start)) & (line(n) <= line(end))
-    return F.coalesce(F.when(is_final(text), on_the_way(n, start, end)).otherwise(first_of_line), F.lit(False))
+    later = F.slice(n, 1, 2) > F.slice(start, 1, 2)
+    in_reach = F.when(F.slice(start, 1, 2) == F.slice(end, 1, 2), F.lit(True)).otherwise(later)
+    final = F.lower(F.regexp_extract(text, VERSION, 2)).isin(FINAL)
+    opens_line = later & (F.slice(n, 1, 2) <= F.slice(end, 1, 2)) & ~F.exists(F.slice(n, F.lit(3), F.size(n)), lambda x: x != 0)
+    return F.coalesce(F.when(final, (n > start) & (n <= end) & in_reach).otherwise(opens_line), F.lit(False))
+
+
+def lines_between(start: Column, end: Column, tried: int = LINES_TRIED) -> Column:
+    """The lines after that of ``start`` up to that of ``end``, as texts; how many minor lines an earlier major had is not known, so ``tried`` are."""
+    minors = lambda major, first, last: F.when(
+        last >= first, F.transform(F.sequence(first, last), lambda m: F.concat(major.cast("string"), F.lit("."), m.cast("string")))
+    ).otherwise(F.array().cast("array<string>"))
+    a, b, c, d = start[0], start[1], end[0], end[1]
+    between = F.when(c - a > 1, F.flatten(F.transform(F.sequence(a + 1, F.greatest(c - 1, a + 1)), lambda m: minors(m, F.lit(0), F.lit(tried - 1))))).otherwise(F.array().cast("array<string>"))
+    across = F.concat(minors(a, b + 1, b + tried), between, minors(c, F.lit(0), d))
+    return F.when((a > c) | ((a == c) & (b >= d)), F.array().cast("array<string>")).when(a == c, minors(c, b + 1, d)).otherwise(across)

@@ -122,10 +122,10 @@ def numeric_parts(version: Column) -> Column:
     return F.transform(F.slice(tokens, F.lit(1), length), lambda t: t.cast("int"))
 
 
-def packed(parts: Column) -> Column:
-    """The first three numbers as one: 10^6 major + 10^3 minor + patch."""
-    part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(0)).cast("long")
-    return part(0) * 1_000_000 + part(1) * 1_000 + part(2)
+def numeric_key(parts: Column) -> Column:
+    """A text that sorts as numbers of at most nine digits do, zeros at the end left out."""
+    length = F.array_max(F.transform(parts, lambda x, i: F.when(x > 0, i + 1).otherwise(0)))
+    return F.array_join(F.transform(F.slice(parts, F.lit(1), F.coalesce(length, F.lit(0))), lambda x: F.lpad(x.cast("string"), 9, "0")), ".")
 
 
 def jump_class(parts_from: Column, parts_to: Column, higher: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.operators.keyed import first_by_key
@@ -33,14 +33,21 @@ def in_ranges(installed: DataFrame, ranges: DataFrame, key: list[str], version:
     """``installed`` with ``vulnerable`` (null without any range) and the ``range_pos`` of the first range it lies in.
 
     ``ranges``: the keys, ``pos`` and the keys of the bounds ``start_incl, start_excl, end_incl, end_excl``, null for no bound.
+    Each different version of a package is compared once; repeated rows stay repeated.
     """
     v = F.col(version)
     bounds = [("start_incl", v >= F.col("start_incl")), ("start_excl", v > F.col("start_excl")), ("end_incl", v <= F.col("end_incl")), ("end_excl", v < F.col("end_excl"))]
     inside = reduce(lambda a, b: a & b, [F.col(name).isNull() | holds for name, holds in bounds])
-    joined = installed.join(ranges, key, "left")
-    return joined.groupBy(*installed.columns).agg(
-        F.bool_or(F.when(F.col("pos").isNotNull(), inside)).alias("vulnerable"), F.min(F.when(inside & F.col("pos").isNotNull(), F.col("pos"))).alias("range_pos")
-    )
+    keys = [*key, version]
+    found = installed.select(*keys).distinct().join(ranges, key).groupBy(*keys).agg(F.bool_or(inside).alias("vulnerable"), F.min(F.when(inside, F.col("pos"))).alias("range_pos"))
+    return joined_back(installed, found, keys)
+
+
+def joined_back(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the further columns of ``found``, which has a row for each key at most; null keys match."""
+    other = found.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in found.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return rows.join(other, same, "left").drop(*[f"__{k}" for k in keys])
 
 
 def event_ranges(events: Column) -> Column:
@@ -87,12 +94,14 @@ def in_event_ranges(installed: DataFrame, ranges: DataFrame, key: list[str], ver
 def lowest_above(installed: DataFrame, candidates: DataFrame, key: list[str]) -> DataFrame:
     """``installed`` (keys, ``major, version_key``) with the lowest candidate of the same major above it, ``fix``; null without one.
 
-    ``candidates``: keys, ``candidate, candidate_major, candidate_key``.
+    ``candidates``: keys, ``candidate, candidate_major, candidate_key``. Both go through one window from high to low, in which the
+    candidate seen last is the lowest above; equal candidates come after what they equal. Repeated rows stay repeated.
     """
-    c = candidates.withColumnRenamed("candidate_major", "major")
-    joined = installed.join(c, [*key, "major"], "left")
-    above = F.when(F.col("candidate_key") > F.col("version_key"), F.struct("candidate_key", "candidate"))
-    return joined.groupBy(*installed.columns).agg(F.min(above)["candidate"].alias("fix"))
+    c = candidates.select(*key, F.col("candidate_major").alias("major"), F.col("candidate_key").alias("version_key"), F.col("candidate").alias("__candidate"))
+    both = installed.withColumn("__candidate", F.lit(None).cast("string")).unionByName(c.where("__candidate IS NOT NULL AND version_key IS NOT NULL"), allowMissingColumns=True)
+    falling = Window.partitionBy(*key, "major").orderBy(F.desc_nulls_first("version_key"), F.col("__candidate").isNotNull(), F.desc("__candidate"))
+    seen = F.last("__candidate", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("fix", seen).where("__candidate IS NULL").select(*installed.columns, "fix")
 
 
 def fix_chain(installed: DataFrame, steps: DataFrame, most: int = MOST_STEPS) -> DataFrame:

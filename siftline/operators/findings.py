@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.severity import SEVERITIES, severity_rank, verdict_name, verdict_rank
 from siftline.functions.text import digest, joined_remark, truncated
+from siftline.operators.advisories import joined_back
 from siftline.operators.keyed import first_by_key, numbered
 
 OPEN, RESOLVED = "OPEN", "RESOLVED"
@@ -172,16 +173,20 @@ def retired(findings: DataFrame, retired_rules: DataFrame, now: Column) -> DataF
 def smallest_enclosing(points: DataFrame, ranges: DataFrame, file: str, line: str, block: int = 512) -> DataFrame:
     """``points`` with ``range_id`` of the shortest range of the file that holds the line; null without one.
 
-    ``ranges``: ``file, first, last, range_id``. Ranges are dealt by file and block of lines.
+    ``ranges``: ``file, first, last, range_id``. Ranges are dealt by file and block of lines; of those that hold a whole block only the
+    shortest goes there, so that long ranges do not meet every point. Each different point is looked up once; repeated rows stay repeated.
     """
-    spread = ranges.select(
-        F.col("file").alias("r_file"), "first", "last", "range_id",
+    spread = ranges.where("first <= last").select(
+        F.col("file").alias("r_file"), "first", "last", F.struct((F.col("last") - F.col("first")).alias("size"), "first", "range_id").alias("r"),
         F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))).alias("r_block"),
     )
-    holds = (F.col("r_file") == F.col(file)) & (F.col("r_block") == F.floor(F.col(line) / block)) & F.col(line).between(F.col("first"), F.col("last"))
-    keys = points.columns
-    best = F.min(F.when(F.col("range_id").isNotNull(), F.struct((F.col("last") - F.col("first")).alias("size"), "first", "range_id")))
-    return points.join(spread, holds, "left").groupBy(*keys).agg(best["range_id"].alias("range_id"))
+    whole = (F.col("first") <= F.col("r_block") * block) & (F.col("last") >= F.col("r_block") * block + block - 1)
+    over = spread.where(whole).groupBy("r_file", "r_block").agg(F.min("r").alias("r"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
+    part = spread.where(~whole).select("r_file", "r_block", "r", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    known = points.select(F.col(file).alias("p_file"), F.col(line).alias("p_line")).distinct()
+    holds = (F.col("r_file") == F.col("p_file")) & (F.col("r_block") == F.floor(F.col("p_line") / block)) & (F.col("first").isNull() | F.col("p_line").between(F.col("first"), F.col("last")))
+    best = known.join(over.select(*part.columns).unionByName(part), holds).groupBy("p_file", "p_line").agg(F.min("r")["range_id"].alias("range_id"))
+    return joined_back(points, best.withColumnsRenamed({"p_file": file, "p_line": line}), [file, line])
 
 
 def resolved_names(uses: DataFrame, definitions: DataFrame, name: str) -> DataFrame:

@@ -28,6 +28,23 @@ def numbered(df: DataFrame, keys: list[str], *order: Column, name: str = "ordina
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
 
+def placed(df: DataFrame, keys: list[str], order: list[Column], block: Column, name: str = "place") -> DataFrame:
+    """Which row of its key each is in ``order``, from 1, where a key may have any share of the rows.
+
+    ``block`` must fall with the order: rows of a higher block come first, those without a block last. A block is ranked by itself, and
+    begins after as many rows as the blocks before it have, which are counted first.
+    """
+    marked = df.withColumn("__block", block)
+    sizes = marked.groupBy(*keys, "__block").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("__block")).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__block").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = F.col("__block").eqNullSafe(F.col("__of"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(*order))
+    return marked.withColumn(name, rank).join(starts, same).withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
+
+
 def zipped(left: DataFrame, right: DataFrame, keys: list[str], left_order: Column, right_order: Column, values: list[str]) -> DataFrame:
     """``left`` with ``values`` of the row of ``right`` with the same ordinal in its key, where both sides
     have as many rows of the key; else null. ``matched`` says which."""

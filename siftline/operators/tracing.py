@@ -10,35 +10,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.severity import VERDICTS, verdict_name, verdict_rank
-from siftline.functions.text import ant_regex
+from siftline.functions.text import ant_regex, servlet_regex
 
 
 def value_origins(flows: DataFrame, origins: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
     """``node, verdict, evidence`` (the steps from the value back to where its verdict comes from).
 
-    A value that no origin reaches is UNKNOWN. Of equally bad ways the shortest is the evidence, then
-    the least source.
+    A value that no origin reaches is UNKNOWN, and so is, at best, what it flows into. Of equally bad ways the shortest is the evidence,
+    then the least source. A round joins the flows with what the round before made worse, and with nothing else; there are as many
+    rounds as the longest way on which a verdict gets worse.
     """
     nodes = flows.select(F.col("dst").alias("node")).union(flows.select("src")).union(origins.select("node")).distinct()
     own = origins.select("node", verdict_rank(F.col("verdict")).alias("rank"), F.array(F.coalesce("evidence", "node")).alias("steps"))
     best = lambda df: df.groupBy("node").agg(F.min_by("steps", F.struct(-F.col("rank"), F.size("steps"), F.col("steps"))).alias("steps"), F.max("rank").alias("rank"))
-    known = cut(best(own))
+    known = fresh = cut(best(own))
+    reached = False
     while True:
-        passed = flows.join(known.select(F.col("node").alias("src"), "rank", "steps"), "src").select(
+        passed = flows.join(fresh.select(F.col("node").alias("src"), "rank", "steps"), "src").select(
             F.col("dst").alias("node"), "rank", F.concat(F.array("dst"), F.col("steps")).alias("steps")
         )
-        fresh = passed.join(known.select("node", F.col("rank").alias("was")), "node", "left").where(F.col("was").isNull() | (F.col("rank") > F.col("was")))
-        if (fresh := cut(best(fresh.select("node", "rank", "steps")))).isEmpty():
-            break
-        known = cut(known.join(fresh.select("node"), "node", "left_anti").unionByName(fresh.select(*known.columns)))
-    named = nodes.join(known, "node", "left")
-    return named.select("node", F.coalesce(verdict_name(F.col("rank")), F.lit("UNKNOWN")).alias("verdict"), "steps")
+        worse = best(passed).join(known.select("node", F.col("rank").alias("was")), "node", "left").where(F.col("was").isNull() | (F.col("rank") > F.col("was")))
+        fresh = cut(worse.select(*known.columns))
+        if fresh.isEmpty():
+            if reached:
+                break
+            # No origin reaches these: they are origins of their own, if of nothing known.
+            lost = nodes.join(known, "node", "left_anti")
+            fresh = cut(lost.select("node", F.array("node").alias("steps"), verdict_rank(F.lit("UNKNOWN")).alias("rank")).select(*known.columns))
+            reached = True
+        known = cut(known.join(fresh.select("node"), "node", "left_anti").unionByName(fresh))
+    # What got its verdict for want of an origin has no steps.
+    return known.select("node", verdict_name(F.col("rank")).alias("verdict"), F.when((F.col("rank") != VERDICTS.index("UNKNOWN")) | (F.size("steps") > 1) | ~F.array_contains("steps", F.col("node")), F.col("steps")).alias("steps"))
 
 
 def statement_verdict(direct: Column, generic: Column, fixed: Column) -> Column:
@@ -65,31 +74,55 @@ def key_origins(sites: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def inherited_methods(extends: DataFrame, methods: DataFrame, most: int = 20) -> DataFrame:
-    """``type, method, owner``: the nearest type up the hierarchy that has the method; extends: ``type, parent``."""
-    up = methods.select(F.col("owner").alias("type"), "method", "owner", F.lit(0).alias("depth"))
-    found, newest = up, up
-    for depth in range(1, most + 1):
-        step = newest.join(extends.withColumnRenamed("type", "child"), newest.type == F.col("parent")).select(F.col("child").alias("type"), "method", "owner", F.lit(depth).alias("depth"))
-        newest = step.join(found, ["type", "method"], "left_anti").groupBy("type", "method").agg(F.min("owner").alias("owner"), F.first("depth").alias("depth"))
-        newest = newest.checkpoint()
+def inherited_methods(extends: DataFrame, methods: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+    """``type, method, owner, depth``: the nearest type up the hierarchy that has the method; extends: ``type, parent``.
+
+    Rounds go a level down each and end when no type has anything new, so loops end, too.
+    """
+    found = newest = methods.select(F.col("owner").alias("type"), "method", "owner", F.lit(0).alias("depth"))
+    for depth in count(1):
+        step = newest.join(extends.withColumnRenamed("type", "child"), newest.type == F.col("parent")).select(F.col("child").alias("type"), "method", "owner")
+        newest = cut(step.join(found, ["type", "method"], "left_anti").groupBy("type", "method").agg(F.min("owner").alias("owner")).withColumn("depth", F.lit(depth)))
         if newest.isEmpty():
-            break
-        found = found.unionByName(newest.select(*found.columns))
-    return found
+            return found
+        found = cut(found.unionByName(newest.select(*found.columns)))
+
 
+def callers(calls: DataFrame, inherited: DataFrame) -> DataFrame:
+    """``owner, method, caller``: who calls each method; calls (``caller, type, method``) go to the nearest type that has it."""
+    return calls.join(inherited, ["type", "method"]).select("owner", "method", "caller").distinct()
 
-def covered(path: Column, devices: list[tuple[str, list[str], list[str]]]) -> Column:
+
+def covered(path: Column, devices: list[tuple[str, list[str], list[str]]], regex: Callable[[str], str] = ant_regex) -> Column:
     """Whether a guard covers a path: one of its patterns fits and none of its exceptions; null without any guard.
 
-    ``devices``: name, patterns and exceptions, which come from configuration and go into the expression.
+    ``devices``: name, patterns and exceptions, which come from configuration and go into the expression; ``regex`` is ``ant_regex`` for
+    interceptors, ``servlet_regex`` for filters.
     """
-    hit = lambda patterns: reduce(or_, [path.rlike(ant_regex(p)) for p in patterns], F.lit(False))
+    hit = lambda patterns: reduce(or_, [path.rlike(regex(p)) for p in patterns], F.lit(False))
     if not devices:
         return F.lit(None).cast("boolean")
     return reduce(or_, [hit(includes) & ~hit(excludes) for _, includes, excludes in devices])
 
 
+def unprotected(endpoints: DataFrame, devices: set[str], hooks: list[dict]) -> tuple[DataFrame | None, str | None]:
+    """The paths of endpoints (``endpoint, path``) that no registered guard covers; or None and why it cannot be told.
+
+    ``hooks``: registrations from configuration with ``name, kind`` (INTERCEPTOR or FILTER), ``include, exclude, known`` (whether its
+    patterns could be read). Without a device, without a registration of one, or with patterns that could not be read, nothing is judged.
+    """
+    if not devices:
+        return None, "NO_DEVICES"
+    applied = [h for h in hooks if h["name"] in devices]
+    if not applied:
+        return None, "NOT_REGISTERED"
+    if not all(h["known"] for h in applied):
+        return None, "PATTERNS_UNKNOWN"
+    kinds = {"INTERCEPTOR": ant_regex, "FILTER": servlet_regex}
+    hit = reduce(or_, [covered(F.col("path"), [(h["name"], h["include"], h["exclude"])], kinds[h["kind"]]) for h in applied])
+    return endpoints.where(~F.coalesce(hit, F.lit(False))), None
+
+
 def rule_changes(drafted: DataFrame, current: DataFrame, dismissed: DataFrame) -> DataFrame:
     """What a drafted set of rules (``kind, name, value``) changes: ADD and REMOVE rows with a key; dismissed keys
     (``change_key``) are left out. Additions are automatic, removals need a person."""

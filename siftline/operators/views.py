@@ -46,9 +46,9 @@ def context_lines(facts: DataFrame, group: str, order: list[str], text: str, mos
 def by_prefix(items: DataFrame, rules: DataFrame, column: str, prefix: str) -> DataFrame:
     """``items`` with each rule whose prefix they begin with.
 
-    Prefixes have few lengths, so an item is looked up once for each length, by equality.
+    An item is looked up once for each length that prefixes have, by equality; lengths are no more than the longest prefix has.
     """
-    lengths = sorted(r[0] for r in rules.select(F.length(prefix)).distinct().limit(1000).collect())
+    lengths = sorted(r[0] for r in rules.select(F.length(prefix)).distinct().collect())
     starts = F.array(*[F.when(F.length(column) >= n, F.substring(column, 1, n)) for n in lengths])
     return items.select(*items.columns, F.explode(F.filter(starts, lambda s: s.isNotNull())).alias(prefix)).join(rules, prefix)
 

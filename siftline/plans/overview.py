@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions.severity import ranked
 from siftline.functions.text import rounded_rate
-from siftline.operators.keyed import one_by_one, searched
+from siftline.operators.keyed import one_by_one, placed, searched
+from siftline.sources.state import tsv_line
 from siftline.sources.tables import table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -32,13 +33,10 @@ def q_open_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The screen's order: rank, price from high to low with nulls last, key; as a list with places."""
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    return (
-        orders.select("o_orderkey", ranked(F.col("o_orderpriority"), PRIORITIES).alias("severity_rank"), "o_totalprice")
-        .orderBy("severity_rank", F.desc_nulls_last("o_totalprice"), "o_orderkey")
-        .limit(500)
-    )
+    """The screen's order: rank, price from high to low with nulls last, key; each row with its place among those of its rank."""
+    orders = table(spark, sf_dir, "orders")
+    ordered = orders.select("o_orderkey", ranked(F.col("o_orderpriority"), PRIORITIES).alias("severity_rank"), "o_totalprice")
+    return placed(ordered, ["severity_rank"], [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")], F.floor(F.col("o_totalprice") / 1000))
 
 
 def q_kpi_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +117,7 @@ def q_anti_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_contains_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return searched(part, {"p_type": "Brass", "p_name": ""}, {"p_size": [1, 5, 9, 13, 21, 40], "p_brand": []}).select("p_partkey", "p_type", "p_size")
+    return searched(part, {"p_type": "Econ", "p_name": ""}, {"p_size": [1, 5, 9, 13, 21, 40], "p_brand": []}).select("p_partkey", "p_type", "p_size")
 
 
 def q_range_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +133,8 @@ def q_range_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_export_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as lines with tabs: tabs and line ends in values become blanks."""
     docs = table(spark, sf_dir, "documents")
-    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\r\n]+", " ")
-    return docs.select("doc_id", F.sha2(F.concat_ws("\t", F.col("doc_id").cast("string"), "lang", "source", flat), 256).alias("line_sha256"))
+    line = tsv_line([F.col(c) for c in ("doc_id", "lang", "source", "text")])
+    return docs.select("doc_id", F.sha2(line, 256).alias("line_sha256"))
 
 
 def q_listagg_note(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +165,8 @@ ORACLES = {
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY c_custkey
     """,
     "q_severity_order": f"""
-        SELECT o_orderkey, {_RANK} AS severity_rank, o_totalprice FROM orders WHERE o_orderstatus = 'P'
-        ORDER BY severity_rank, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 500
+        SELECT o_orderkey, {_RANK} AS severity_rank, o_totalprice,
+            row_number() OVER (PARTITION BY {_RANK} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders
     """,
     "q_kpi_rates": """
         WITH c AS (
@@ -207,7 +205,7 @@ ORACLES = {
         SELECT DISTINCT l_orderkey FROM lineitem WHERE NOT EXISTS (
             SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P' AND o_orderkey % 5 <> 0)
     """,
-    "q_contains_search": "SELECT p_partkey, p_type, p_size FROM part WHERE contains(lower(p_type), 'brass') AND p_size IN (1, 5, 9, 13, 21, 40)",
+    "q_contains_search": "SELECT p_partkey, p_type, p_size FROM part WHERE contains(lower(p_type), 'econ') AND p_size IN (1, 5, 9, 13, 21, 40)",
     "q_range_cap": """
         WITH p AS (
             SELECT p_partkey, CAST(p_partkey % 50 + 1 AS INT) AS a, CAST(p_partkey % 50 + 1 + p_size * 4 AS INT) AS b,

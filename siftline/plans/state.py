@@ -25,7 +25,7 @@ def q_newest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_latest_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     assessed = events.where("event_id % 3 = 0").select("user_id", "event_type", "ts", F.col("event_id").alias("from_event"), F.col("value").alias("reused"))
-    wanted = events.where("event_id % 3 = 1").select("event_id", "user_id", "event_type")
+    wanted = events.where("event_id % 3 <> 0").select("event_id", "user_id", "event_type")
     found = latest_reused(wanted, assessed, ["user_id", "event_type"], "ts", ["from_event", "reused"], F.desc("from_event"))
     return found.select("event_id", "from_event", "reused")
 
@@ -178,7 +178,7 @@ ORACLES = {
             SELECT user_id, event_type, event_id AS from_event, value AS reused FROM events WHERE event_id % 3 = 0
             QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id DESC) = 1
         )
-        SELECT event_id, from_event, reused FROM events LEFT JOIN l USING (user_id, event_type) WHERE event_id % 3 = 1
+        SELECT event_id, from_event, reused FROM events LEFT JOIN l USING (user_id, event_type) WHERE event_id % 3 <> 0
     """,
     "q_scan_diff": """
         WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1997), b AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1998)

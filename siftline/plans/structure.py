@@ -71,13 +71,11 @@ def q_tree_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each brand includes, through edges between parts of the same brand."""
-    part = table(spark, sf_dir, "part").where("p_partkey < 2000")
-    edges = part.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 7 % 1999).alias("dst")).union(
-        part.where("p_partkey % 11 = 0").select("p_partkey", (F.col("p_partkey") % 13 + 1))
-    )
-    starts = part.where("p_partkey % 97 = 0").select(F.col("p_partkey").alias("start"))
-    return closure(edges.where("src % 4 <> 1"), starts, cut=written).select("start", "node", "depth")
+    """What each part includes, directly or not: a part that is no fourth takes in the third and, if of even size, the quarter of its number."""
+    part = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    edges = part.where("p_partkey % 4 <> 1").select(k.alias("src"), F.explode(F.array(F.floor(k / 3), F.when(F.col("p_size") % 2 == 0, F.floor(k / 4)))).alias("dst")).where("dst > 0")
+    return closure(edges, part.select(k.alias("start")), cut=written).select("start", "node", "depth")
 
 
 def q_value_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +152,11 @@ ORACLES = {
     """,
     "q_include_closure": """
         WITH RECURSIVE e AS (
-            SELECT p_partkey AS src, p_partkey * 7 % 1999 AS dst FROM part WHERE p_partkey < 2000 AND p_partkey % 4 <> 1
-            UNION SELECT p_partkey, p_partkey % 13 + 1 FROM part WHERE p_partkey < 2000 AND p_partkey % 11 = 0 AND p_partkey % 4 <> 1
+            SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey % 4 <> 1 AND p_partkey >= 3
+            UNION SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey % 4 <> 1 AND p_size % 2 = 0 AND p_partkey >= 4
         ), w AS (
-            SELECT p_partkey AS start, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey < 2000 AND p_partkey % 97 = 0
-            UNION SELECT start, dst, depth + 1 FROM w JOIN e ON src = node WHERE depth < 50
+            SELECT p_partkey AS start, p_partkey AS node, 0 AS depth FROM part
+            UNION SELECT start, dst, depth + 1 FROM w JOIN e ON src = node
         )
         SELECT start, node, min(depth) AS depth FROM w GROUP BY start, node
     """,
@@ -168,11 +166,11 @@ ORACLES = {
             OR (regexp_matches(path, '^/(.*/)?[^/]*9[^/]*$') AND NOT regexp_matches(path, '^/x(/.*)?$')) AS covered FROM p
     """,
     "q_value_origins": """
-        WITH s AS (SELECT 's' || s_suppkey AS node, s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 4 THEN NULL ELSE 2 END AS r FROM supplier),
-        o AS (SELECT 'o' || l_orderkey AS node, l_orderkey AS k, max(r) AS r FROM lineitem LEFT JOIN s ON s.k = l_suppkey GROUP BY l_orderkey),
-        x AS (SELECT 'o' || o_orderkey AS node, o_orderkey AS k, r FROM orders LEFT JOIN o ON o.k = o_orderkey),
+        WITH s AS (SELECT 's' || s_suppkey AS node, s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 4 THEN 3 ELSE 2 END AS r FROM supplier),
+        o AS (SELECT 'o' || l_orderkey AS node, l_orderkey AS k, max(coalesce(r, 3)) AS r FROM lineitem LEFT JOIN s ON s.k = l_suppkey GROUP BY l_orderkey),
+        x AS (SELECT 'o' || o_orderkey AS node, o_orderkey AS k, coalesce(r, 3) AS r FROM orders LEFT JOIN o ON o.k = o_orderkey),
         c AS (SELECT 'c' || o_custkey AS node, max(r) AS r FROM orders JOIN x ON x.k = o_orderkey GROUP BY o_custkey),
-        u AS (SELECT node, r FROM s WHERE r IS NOT NULL OR k IN (SELECT l_suppkey FROM lineitem) UNION SELECT node, r FROM x UNION SELECT node, r FROM o UNION SELECT node, r FROM c)
+        u AS (SELECT node, r FROM s WHERE k % 5 <> 4 OR k IN (SELECT l_suppkey FROM lineitem) UNION SELECT node, r FROM x UNION SELECT node, r FROM o UNION SELECT node, r FROM c)
         SELECT node, CASE max(r) WHEN 5 THEN 'CLIENT' WHEN 2 THEN 'SERVER_SET' ELSE 'UNKNOWN' END AS verdict FROM u GROUP BY node
     """,
 }

@@ -30,10 +30,10 @@ def q_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_mask_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in which masking hides a quoted token, as they read after."""
-    docs = table(spark, sf_dir, "documents")
-    hidden = F.regexp_replace("text", r'(token = ")[0-9a-f]{40}(")', "$1****$2")
-    return docs.where(F.col("text").rlike(r'token = "[0-9a-f]{40}"')).select("doc_id", F.sha2(hidden, 256).alias("masked_sha256"))
+    """Documents with code that sets a secret, as all their lines read after masking."""
+    docs = table(spark, sf_dir, "documents").where(assigns_secret(F.col("text")))
+    hidden = F.array_join(F.transform(F.split("text", "\n", -1), masked), "\n")
+    return docs.select("doc_id", F.sha2(hidden, 256).alias("masked_sha256"))
 
 
 def q_mask_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,13 +87,26 @@ _LINES = r"""
 """
 _NUMBERED = f"{_LINES}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY source, line ORDER BY doc_id, pos) - 1 AS INT) AS occurrence, count(*) OVER (PARTITION BY source, line) AS n FROM l)"
 
+# The masking rules for DuckDB, which has no back references: a quoted piece is of one of two kinds, whose quotes are marked first.
+_SETTING = "password|passwd|secret|api[-_.]?key|access[-_.]?key|private[-_.]?key|token"
+_COMMENT = "password|passwd|pwd|비밀번호|비번|secret|api[-_.]?key|access[-_.]?key|token"
+_MASKED = rf"""
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace(line, '("(?:[^"\\]|\\.)*")|(''(?:[^''\\]|\\.)*'')', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g'),
+        chr(1) || '"[^' || chr(2) || ']*' || chr(2) || chr(3), '"****"', 'g'),
+        chr(1) || chr(2) || '''[^' || chr(3) || ']*' || chr(3), '''****''', 'g'),
+        '(?i)^(\s*[\w.-]*(?:{_SETTING})[\w.-]*\s*[=:]\s*).+$', '\1****', 'g'),
+        '(?i)((?://|#|<!--|/\*|\*)[^\n]*?(?:{_COMMENT})[\w.-]*\s*[=:]\s*)[^\s''"<>]+', '\1****', 'g')
+"""
+
 ORACLES = {
     "q_fingerprint": f"WITH {_NUMBERED} SELECT doc_id, pos, occurrence, sha256(source || chr(10) || line || chr(10) || occurrence) AS fingerprint FROM n",
     "q_occurrence": f"WITH {_NUMBERED} SELECT source, doc_id, pos, occurrence, n FROM n WHERE n > 1",
-    "q_mask_secrets": r"""
-        SELECT doc_id, sha256(regexp_replace(text, '(token = ")[0-9a-f]{40}(")', '\1****\2', 'g')) AS masked_sha256 FROM documents
-        WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"')
+    "q_mask_secrets": rf"""
+        SELECT doc_id, sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda line: {_MASKED}), chr(10))) AS masked_sha256 FROM documents
+        WHERE regexp_matches(text, '(?i)[\w.]*(?:password|passwd|pwd|secret|api_?key|access_?key|private_?key|token|credential)\w*\s*[=:,(]\s*"[^"]+"')
     """,
+    "q_mask_lines": f"WITH {_LINES}, m AS (SELECT doc_id, pos, line, {_MASKED} AS masked FROM l) SELECT doc_id, pos, masked FROM m WHERE masked <> line",
     "q_secret_blocks": r"""
         SELECT doc_id FROM documents
         WHERE regexp_matches(text, '(?i)[\w.]*(?:password|passwd|pwd|secret|api_?key|access_?key|private_?key|token|credential)\w*\s*[=:,(]\s*"[^"]+"')

@@ -158,19 +158,24 @@ def mapper_statements(files: DataFrame) -> DataFrame:
     """``path, id, kind, line, body, uses, includes`` of the statements in SQL mapper files (``path, text``).
 
     ``uses`` are the names put into the text as they are, ``includes`` the fragments taken in. Comments count as
-    nothing; lines are counted in what is left.
+    nothing, but for their lines.
     """
-    bare = F.regexp_replace("text", r"(?s)<!--.*?-->", "")
-    whole = F.regexp_extract_all(bare, F.lit(STATEMENT), F.lit(0))
-    each = files.select("path", bare.alias("text"), F.explode(whole).alias("s"))
-    body = F.regexp_extract("s", STATEMENT, 3)
+    n_lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    comments = F.regexp_extract_all("text", F.lit(r"(?s)<!--.*?-->"), F.lit(0))
+    between = F.split("text", r"(?s)<!--.*?-->", -1)
+    blank = F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.repeat(F.lit("\n"), n_lines(F.get(comments, i))), F.lit(""))))
+    bare = files.select("path", F.array_join(blank, "").alias("text"))
+    found = bare.select("path", F.regexp_extract_all("text", F.lit(STATEMENT), F.lit(0)).alias("all"), F.split("text", STATEMENT, -1).alias("rest"))
+    # What stands before a statement: all statements before it, and what is between these.
+    before = lambda column, n: F.aggregate(F.slice(column, F.lit(1), n), F.lit(0), lambda a, x: a + n_lines(x))
+    each = found.select("path", "all", "rest", F.posexplode("all").alias("at", "s"))
     names = lambda group: F.filter(F.regexp_extract_all("s", F.lit(USE), F.lit(group)), lambda x: x != "")
     return each.select(
         "path",
         F.regexp_extract("s", STATEMENT, 2).alias("id"),
         F.lower(F.regexp_extract("s", STATEMENT, 1)).alias("kind"),
-        F.size(F.split(F.call_function("substring_index", F.col("text"), F.col("s"), F.lit(1)), "\n", -1)).alias("line"),
-        body.alias("body"),
+        (before("all", F.col("at")) + before("rest", F.col("at") + 1) + 1).alias("line"),
+        F.regexp_extract("s", STATEMENT, 3).alias("body"),
         F.array_distinct(F.concat(names(1), names(2))).alias("uses"),
         F.regexp_extract_all("s", F.lit(INCLUDE), F.lit(1)).alias("includes"),
     )

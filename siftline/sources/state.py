@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,7 +36,13 @@ def next_version(rows: DataFrame, path: str, version: int) -> str:
     return target
 
 
+def tsv_line(values: list[Column]) -> Column:
+    """Values with tabs between; tabs and line ends in values become blanks, null is empty."""
+    flat = [F.regexp_replace(F.coalesce(v.cast("string"), F.lit("")), r"[\t\r\n]+", " ") for v in values]
+    return F.concat_ws("\t", *flat)
+
+
 def export_tsv(df: DataFrame, path: str) -> None:
     """A header and rows with tabs between; tabs and line ends in values become blanks."""
-    flat = [F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " ").alias(c) for c in df.columns]
-    df.select(*flat).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    header = df.sparkSession.createDataFrame([("\t".join(df.columns),)], "value string").coalesce(1)
+    header.union(df.select(tsv_line([F.col(c) for c in df.columns]).alias("value"))).write.mode("overwrite").text(path)
