@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import overview, reviews, state, structure, texts, versions
+from siftline.plans import inputs, overview, reviews, state, structure, texts, versions
 
-MODULES = [overview, state, versions, texts, structure, reviews]
+MODULES = [overview, state, versions, texts, structure, reviews, inputs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
