@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, decontaminate, fingerprints, lines, quality, repeats, sharding, simhash, tokencount, toxicity
+from siftline.llm import audit, bpe, decontaminate, fingerprints, lines, quality, repeats, sharding, simhash, tokencount, toxicity
 
-MODULES = [sharding, tokencount, quality, simhash, repeats, lines, fingerprints, decontaminate, toxicity, bpe]
+MODULES = [sharding, tokencount, quality, simhash, repeats, lines, fingerprints, decontaminate, toxicity, bpe, audit]
 
 
 def queries() -> dict:
