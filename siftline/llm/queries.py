@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import audit, bpe, decontaminate, fingerprints, lines, mixing, quality, repeats, sharding, simhash, tokencount, toxicity
+from siftline.llm import audit, bpe, collocations, decontaminate, fingerprints, lines, mixing, quality, repeats, sharding, simhash, tokencount, toxicity
 
-MODULES = [sharding, tokencount, quality, simhash, repeats, lines, fingerprints, decontaminate, toxicity, bpe, mixing, audit]
+MODULES = [sharding, tokencount, quality, simhash, repeats, lines, fingerprints, decontaminate, toxicity, bpe, collocations, mixing, audit]
 
 
 def queries() -> dict:
