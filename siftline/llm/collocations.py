@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ from siftline.llm.common import arrow_rows, cut, joined_with_hot, table
 from siftline.llm.lines import LOWER, UPPER
 
 #: Rows of a sketch; its cells a row, as a power of two between these for a text of so many bytes a cell; cells of a block.
-DEPTH, LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, BLOCK = 3, 1 << 16, 1 << 26, 32, 1 << 14
+DEPTH, LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, BLOCK = 2, 1 << 16, 1 << 26, 32, 1 << 14
 #: What a task holds before it passes counts on: words not yet counted, numbered words, distinct phrases; bytes of a text split at once.
-WORDS, NUMBERED, PHRASES, SLICE = 1 << 19, 1 << 19, 1 << 20, 1 << 19
+WORDS, NUMBERED, PHRASES, SLICE = 1 << 19, 1 << 19, 1 << 21, 1 << 19
 #: A phrase is a number of three fields of so many bits, which hold its words' numbers.
 BITS = 21
 LONGEST = 3
@@ -145,10 +146,11 @@ def phrases(rows: Iterator[tuple], wanted: Callable[[str, np.ndarray, Numbers],
             if n_waiting < WORDS and len(numbers.words) < NUMBERED:
                 continue
             n_held += count()
-            if n_held >= PHRASES:
+            full = n_held >= PHRASES
+            if full:
                 held.update({lang_: [summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))] for lang_, parts in held.items()})
                 n_held = sum(len(keys) for ((keys, _),) in held.values())
-            if n_held >= PHRASES // 2 or len(numbers.words) >= NUMBERED:
+            if full and n_held >= PHRASES // 2 or len(numbers.words) >= NUMBERED:
                 yield from passed()
                 n_held, old, numbers = 0, numbers, Numbers()
                 for lang_, ids in carried.items():
@@ -157,6 +159,21 @@ def phrases(rows: Iterator[tuple], wanted: Callable[[str, np.ndarray, Numbers],
     yield from passed()
 
 
+def sparse(block: np.ndarray) -> bytes:
+    """The cells of a block that are not zero: how far each is from the last, by low and high byte, and their counts."""
+    at = np.flatnonzero(block)
+    gaps = np.diff(at, prepend=0)
+    return b"".join(x.astype(np.uint8).tobytes() for x in (gaps & 255, gaps >> 8)) + block[at].tobytes()
+
+
+def added(total: np.ndarray, packed: bytes, kind: np.dtype, most: int) -> None:
+    """Adds what ``sparse`` made of a block of ``kind`` to ``total``, which counts to ``most``."""
+    n = len(packed) // (2 + kind.itemsize)
+    gaps = np.frombuffer(packed, np.uint8, n).astype(np.int64) + (np.frombuffer(packed, np.uint8, n, n).astype(np.int64) << 8)
+    at = np.cumsum(gaps)
+    total[at] = np.minimum(total[at] + np.frombuffer(packed, kind, n, 2 * n), most)
+
+
 def sketched(texts: DataFrame, cells: int, least: int) -> DataFrame:
     """``block, cells``: the blocks of each task's sketch that are not empty, compressed; cells count to ``least``."""
     kind = np.min_scalar_type(least)
@@ -170,7 +187,7 @@ def sketched(texts: DataFrame, cells: int, least: int) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=1)
         for number, block in enumerate(table_.reshape(-1, BLOCK)):
             if block.any():
-                yield number, packer.compress(block.tobytes())
+                yield number, packer.compress(sparse(block))
 
     return arrow_rows(texts, sketch, "block int, cells binary", [pa.int32(), pa.binary()], 512)
 
@@ -186,7 +203,7 @@ def reached(sketches: DataFrame, least: int) -> DataFrame:
                 if now is not None:
                     yield now, np.packbits(total >= least).tobytes()
                 now, total = number, np.zeros(BLOCK, dtype=np.int64)
-            total = np.minimum(total + np.frombuffer(unpacker.decompress(packed), dtype=kind), least)
+            added(total, unpacker.decompress(packed), kind, least)
         if now is not None:
             yield now, np.packbits(total >= least).tobytes()
 
@@ -204,7 +221,8 @@ def survivors(texts: DataFrame, least: int, cells: int | None = None) -> DataFra
 
     ``texts`` (``lang, text``, neither null) is read twice. The sketch has a cell for ``BYTES_A_CELL`` bytes of text, but
     no more than ``MOST_CELLS`` a row: beyond some 2 GB for each of these, more rare phrases are counted exactly, then dropped, with the same
-    result. All that is broadcast is a bit a cell, 25 MB at most.
+    result. All that is broadcast is a bit a cell, 17 MB at most. A task's counts travel in compressed runs of phrases that share a hash, whose rows meet
+    in one task and are added up there first.
     """
     spark = texts.sparkSession
     size = cells or cells_for(texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0)
@@ -219,18 +237,42 @@ def survivors(texts: DataFrame, least: int, cells: int | None = None) -> DataFra
             chosen &= (row[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
         return chosen
 
+    n_runs = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def exact(rows: Iterator[tuple]) -> Iterator[tuple]:
+        packer = zstandard.ZstdCompressor(level=1)
         for lang, keys, counts, numbers, n in phrases(rows, frequent):
-            yield lang, "", n
-            words, field = numbers.words, (1 << BITS) - 1
-            for key, f in zip(keys.tolist(), counts.tolist(), strict=True):
-                a, b, c = key >> 2 * BITS, (key >> BITS) & field, key & field
-                yield lang, (b"%b %b %b" % (words[a], words[b], words[c]) if a else b"%b %b" % (words[b], words[c]) if b else words[c]).decode(), f
-
-    counted = arrow_rows(texts, exact, "lang string, phrase string, f long", [pa.string(), pa.string(), pa.int64()], 1 << 15)
+            yield lang, 0, packer.compress(b""), packer.compress(np.int64(n).tobytes())
+            run = next(places(lang, keys, numbers, 1 << 62)) % n_runs
+            order = np.argsort(run, kind="stable")
+            ends, words, field = np.searchsorted(run[order], np.arange(n_runs + 1)).tolist(), numbers.words, (1 << BITS) - 1
+            for number, (first, end) in enumerate(pairwise(ends)):
+                if first < end:
+                    at = order[first:end]
+                    parts = ((key >> 2 * BITS, (key >> BITS) & field, key & field) for key in keys[at].tolist())
+                    told = b"\n".join(b"%b %b %b" % (words[a], words[b], words[c]) if a else b"%b %b" % (words[b], words[c]) if b else words[c] for a, b, c in parts)
+                    yield lang, number, packer.compress(told), packer.compress(counts[at].astype(np.min_scalar_type(counts[at].max())).tobytes())
+
+    runs = arrow_rows(texts, exact, "lang string, run int, phrases binary, counts binary", [pa.string(), pa.int32(), pa.binary(), pa.binary()], 256)
+    counted = unpacked(runs.repartition("run"))
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
+def unpacked(runs: DataFrame) -> DataFrame:
+    """``lang, phrase, f`` of runs of phrases, which travel compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for row in batch.to_pylist():
+                told = unpacker.decompress(row["phrases"]).split(b"\n")
+                packed = unpacker.decompress(row["counts"])
+                counts = np.frombuffer(packed, dtype=f"u{len(packed) // len(told)}").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(told)), pa.array(told, pa.binary()).cast(pa.string()), pa.array(counts)], names=["lang", "phrase", "f"])
+
+    return runs.mapInArrow(run, "lang string, phrase string, f long")
+
+
 def score(a: Column, left: Column, right: Column) -> Column:
     """``floor(1000000 a a / (left right))`` over whole numbers; counts may have 16 digits."""
     wide = lambda c: c.cast("decimal(16,0)")
@@ -243,19 +285,17 @@ def scored(counts: DataFrame) -> DataFrame:
     Both parts of a phrase are as frequent as the phrase at least, so they are among ``counts``, which must be written. Very common words begin or end
     very many phrases; those are dealt by the phrase.
     """
-    parts = F.split("phrase", " ")
-    candidates = counts.where("phrase LIKE '% %'").select("lang", "phrase", F.col("f").alias("a"), parts.alias("words"))
-    cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k")).select(
-        "lang", "phrase", "a", F.size("words").alias("n_words"), "k",
-        F.array_join(F.slice("words", F.lit(1), F.col("k")), " ").alias("first"),
-        F.array_join(F.slice("words", F.col("k") + 1, F.size("words") - F.col("k")), " ").alias("rest"),
-    )
-    known = lambda part, f: counts.where("phrase <> ''").select("lang", F.col("phrase").alias(part), F.col("f").alias(f))
-    with_left = joined_with_hot(cuts, known("first", "l"), ["lang", "first"], "l", ["l"], F.xxhash64("phrase"))
-    with_both = joined_with_hot(with_left, known("rest", "r"), ["lang", "rest"], "r", ["r"], F.xxhash64("phrase"))
+    n_words = F.size(F.split("phrase", " "))
+    part = lambda first, n: F.array_join(F.slice(F.split("phrase", " "), first, n), " ").alias("part")
+    candidates = counts.where("phrase LIKE '% %'").select("lang", "phrase", F.col("f").alias("a"))
+    cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), n_words - 1)).alias("k"))
+    known = lambda f: counts.where("phrase <> ''").select("lang", F.col("phrase").alias("part"), F.col("f").alias(f))
+    with_left = joined_with_hot(cuts.select("*", part(F.lit(1), F.col("k"))), known("l"), ["lang", "part"], "l", ["l"], F.xxhash64("phrase"))
+    tails = with_left.drop("part").select("*", part(F.col("k") + 1, n_words - F.col("k")))
+    with_both = joined_with_hot(tails, known("r"), ["lang", "part"], "r", ["r"], F.xxhash64("phrase"))
     valued = with_both.withColumn("score", score(F.col("a"), F.col("l"), F.col("r")))
-    least = valued.groupBy("lang", "phrase", "n_words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    return least.select("lang", "phrase", "n_words", "a", "cut.k", "cut.l", "cut.r", "cut.score")
+    least = valued.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    return least.select("lang", "phrase", n_words.alias("n_words"), "a", "cut.k", "cut.l", "cut.r", "cut.score")
 
 
 def without_parts(candidates: DataFrame, share: int) -> DataFrame:
