@@ -18,36 +18,124 @@ from pyspark.sql import functions as F
 
 from siftline.functions.severity import VERDICTS, verdict_name, verdict_rank
 from siftline.functions.text import ant_regex, servlet_regex
+from siftline.sources.state import Rounds, written
 
 
-def value_origins(flows: DataFrame, origins: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
-    """``node, verdict, evidence`` (the steps from the value back to where its verdict comes from).
+#: Tables of rounds that are read together before they become one.
+PARTS = 8
 
-    A value that no origin reaches is UNKNOWN, and so is, at best, what it flows into. Of equally bad ways the shortest is the evidence,
-    then the least source. A round joins the flows with what the round before made worse, and with nothing else; there are as many
-    rounds as the longest way on which a verdict gets worse.
+
+def jumps(flows: DataFrame, origins: DataFrame, rounds: Rounds) -> DataFrame:
+    """``node, src, to, far``: for values with one source alone and no origin, where the chain of such values begins, and how far that is.
+
+    Chains are followed by doubling, so there are as many rounds as the longest has binary digits. What runs in a circle is left out: when a round ends no chain,
+    none is left that ends.
     """
-    nodes = flows.select(F.col("dst").alias("node")).union(flows.select("src")).union(origins.select("node")).distinct()
-    own = origins.select("node", verdict_rank(F.col("verdict")).alias("rank"), F.array(F.coalesce("evidence", "node")).alias("steps"))
-    best = lambda df: df.groupBy("node").agg(F.min_by("steps", F.struct(-F.col("rank"), F.size("steps"), F.col("steps"))).alias("steps"), F.max("rank").alias("rank"))
-    known = fresh = cut(best(own))
-    reached = False
+    one = flows.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("src")).where("n = 1")
+    every = [rounds.keep(one.join(origins.select("node"), "node", "left_anti").select("node", "src", F.col("src").alias("to"), F.lit(1).alias("far"), F.lit(True).alias("open")))]
+    kept, before = [*every], -1
     while True:
-        passed = flows.join(fresh.select(F.col("node").alias("src"), "rank", "steps"), "src").select(
-            F.col("dst").alias("node"), "rank", F.concat(F.array("dst"), F.col("steps")).alias("steps")
-        )
-        worse = best(passed).join(known.select("node", F.col("rank").alias("was")), "node", "left").where(F.col("was").isNull() | (F.col("rank") > F.col("was")))
-        fresh = cut(worse.select(*known.columns))
+        known = reduce(DataFrame.unionByName, every)
+        on = known.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("open").alias("still"))
+        step = every[-1].where("open").join(on, "to", "left")
+        last = rounds.keep(step.select("node", "src", F.coalesce("next", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.coalesce("still", F.lit(False)).alias("open")))
+        left = last.where("open").count()
+        every[-1] = every[-1].where("NOT open")
+        every.append(last)
+        kept.append(last)
+        if left in (0, before):
+            whole = rounds.keep(reduce(DataFrame.unionByName, [p.where("NOT open") for p in every]).drop("open"))
+            rounds.drop(*kept)
+            return whole
+        before = left
+
+
+def better(df: DataFrame) -> DataFrame:
+    """The row of each node with the worst verdict, then the least distance, then the least source."""
+    return df.groupBy("node").agg(F.min(F.struct((-F.col("rank")).alias("over"), "dist", "via", "evidence")).alias("it")).select(
+        "node", (-F.col("it.over")).alias("rank"), "it.dist", "it.via", "it.evidence"
+    )
+
+
+def spread(flows: DataFrame, origins: DataFrame, rounds: Rounds, lost: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``node, rank, dist, via, evidence``: the worst rank of ``origins`` (``node, rank, evidence``) that reaches each node over ``flows``
+    (``dst, src``), how far it is and from which source; nodes that nothing reaches are not there.
+
+    Chains of values with one source are jumped over first. A round joins the other flows with what the round before made worse, or nearer, and writes what
+    that makes worse again, and nothing else; what is known is the union of what rounds have written, put together every ``PARTS`` rounds. ``lost`` gives further
+    origins in place of what was not reached, once.
+    """
+    start = origins.select("node", "rank", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("via"), F.coalesce("evidence", "node").alias("evidence"))
+    real = rounds.keep(flows.select("dst", "src").where("dst <> src").distinct())
+    chains = jumps(real, origins, rounds)
+    inner = real.join(chains.select(F.col("node").alias("dst")), "dst", "left_anti")
+    edges = rounds.keep(
+        inner.join(chains.select(F.col("node").alias("src"), "to", "far"), "src", "left").select("dst", F.col("src").alias("by"), F.coalesce("to", "src").alias("src"), (F.coalesce("far", F.lit(0)) + 1).alias("far"))
+    )
+
+    def passed_on(some: DataFrame) -> DataFrame:
+        """What some nodes pass to those that take their values."""
+        met = edges.join(some.select(F.col("node").alias("src"), "rank", "dist"), "src")
+        return met.select(F.col("dst").alias("node"), "rank", (F.col("dist") + F.col("far")).alias("dist"), F.col("by").alias("via"), F.lit(None).cast("string").alias("evidence"))
+
+    order = F.struct((-F.col("rank")).alias("over"), "dist", "via")
+    parts = [rounds.keep(better(start))]
+    fresh = parts[0]
+    while True:
+        known = reduce(DataFrame.unionByName, parts)
+        was = known.groupBy("node").agg(F.min(order).alias("was"))
+        fresh = rounds.keep(better(passed_on(fresh)).join(was, "node", "left").where(F.col("was").isNull() | (order < F.col("was"))).drop("was"))
         if fresh.isEmpty():
-            if reached:
+            if lost is None:
                 break
-            # No origin reaches these: they are origins of their own, if of nothing known.
-            lost = nodes.join(known, "node", "left_anti")
-            fresh = cut(lost.select("node", F.array("node").alias("steps"), verdict_rank(F.lit("UNKNOWN")).alias("rank")).select(*known.columns))
-            reached = True
-        known = cut(known.join(fresh.select("node"), "node", "left_anti").unionByName(fresh))
-    # What got its verdict for want of an origin has no steps.
-    return known.select("node", verdict_name(F.col("rank")).alias("verdict"), F.when((F.col("rank") != VERDICTS.index("UNKNOWN")) | (F.size("steps") > 1) | ~F.array_contains("steps", F.col("node")), F.col("steps")).alias("steps"))
+            along = chains.join(known.select(F.col("node").alias("to")).distinct(), "to", "left_semi").select("node")
+            fresh, lost = rounds.keep(lost(known.select("node").union(along).distinct())), None
+        parts.append(fresh)
+        if len(parts) > PARTS:
+            whole = rounds.keep(better(reduce(DataFrame.unionByName, parts[:-1])))
+            rounds.drop(*parts[:-1])
+            parts = [whole, fresh]
+    whole = rounds.keep(better(reduce(DataFrame.unionByName, parts)))
+    along = chains.join(whole.select(F.col("node").alias("to"), "rank", "dist"), "to").select(
+        "node", "rank", (F.col("dist") + F.col("far")).alias("dist"), F.col("src").alias("via"), F.lit(None).cast("string").alias("evidence")
+    )
+    # A value on a chain may itself have been given an origin for want of one; its chain's beginning then has none worse.
+    result = rounds.keep(better(whole.unionByName(along)))
+    rounds.drop(whole, real, chains, edges, *parts)
+    return result
+
+
+def with_steps(found: DataFrame, rounds: Rounds) -> DataFrame:
+    """``node, steps``: the way from each node of ``spread`` back to its origin's evidence. Ways double in each round, so there are few."""
+    ways = found.select("node", F.when(F.col("via").isNull(), F.array("evidence")).otherwise(F.array("node")).alias("steps"), "via")
+    most = found.agg(F.max("dist")).head()[0] or 0
+    for _ in range(most.bit_length()):
+        before = ways = rounds.keep(ways)
+        on = before.where("via IS NOT NULL").join(before.select(F.col("node").alias("via"), F.col("steps").alias("more"), F.col("via").alias("next")), "via")
+        ways = before.where("via IS NULL").unionByName(on.select("node", F.concat("steps", "more").alias("steps"), F.col("next").alias("via")))
+    return ways.select("node", "steps")
+
+
+def value_origins(flows: DataFrame, origins: DataFrame) -> DataFrame:
+    """``node, verdict, steps`` (the steps from the value back to where its verdict comes from).
+
+    A value that no origin reaches is UNKNOWN, and so is, at best, what it flows into. Of equally bad ways the shortest is the evidence,
+    then that of the least source. There are as many rounds as the longest way on which a verdict gets worse, less the chains on it. What has its verdict
+    for want of an origin has no steps.
+    """
+    rounds = Rounds(flows.sparkSession, "value_origins")
+    nodes = flows.select(F.col("dst").alias("node")).union(flows.select("src")).union(origins.select("node")).distinct()
+
+    def lost(known: DataFrame) -> DataFrame:
+        """No origin reaches these: they are origins of their own, if of nothing known."""
+        return nodes.join(known, "node", "left_anti").select(
+            "node", F.lit(VERDICTS.index("UNKNOWN")).alias("rank"), F.lit(0).alias("dist"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("evidence")
+        )
+
+    own = origins.select("node", verdict_rank(F.col("verdict")).alias("rank"), "evidence")
+    found = spread(flows, own, rounds, lost)
+    steps = with_steps(found, rounds)
+    return steps.join(found.select("node", "rank"), "node").select("node", verdict_name(F.col("rank")).alias("verdict"), F.when(~F.exists("steps", lambda s: s.isNull()), F.col("steps")).alias("steps"))
 
 
 def statement_verdict(direct: Column, generic: Column, fixed: Column) -> Column:
@@ -74,7 +162,7 @@ def key_origins(sites: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def inherited_methods(extends: DataFrame, methods: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+def inherited_methods(extends: DataFrame, methods: DataFrame, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """``type, method, owner, depth``: the nearest type up the hierarchy that has the method; extends: ``type, parent``.
 
     Rounds go a level down each and end when no type has anything new, so loops end, too.

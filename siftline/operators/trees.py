@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.sources.state import written
+
 COORDINATE = r"^((?:\|  |   )*)(?:\+- |\\- )([^:]+):([^:]+)"
 
 
@@ -67,7 +69,7 @@ def pruned(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return kept.where(F.col("hit").isNull() | F.col("kept") | (F.col("pos") == 0)).drop("hit", "kept")
 
 
-def closure(edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """``start, node, depth``: all nodes that edges (``src, dst``) reach, with the least number of steps; starts reach themselves.
 
     Rounds of joins over the nodes found last, until there are none; cycles end as known nodes are not followed again.

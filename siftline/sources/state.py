@@ -3,23 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written to the session's checkpoint folder and read again, so that plans of rounds stay short
-    and lost executors cost no more than the round. Only a local session without a folder gets its own."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session without one gets its own."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siftline-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written to the session's checkpoint folder and read again, so that plans of rounds stay short
+    and lost executors cost no more than the round."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Rounds:
+    """Tables that rounds of an iteration write to the shared folder, each of which can be removed once nothing reads it any more.
+
+    Their files are removed with Hadoop's own calls, through the session's JVM: a classic session is needed, not one of Spark Connect.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.n = spark, f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}", 0
+        self.places: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        place = f"{self.folder}/{self.n:05d}"
+        df.write.parquet(place)
+        kept = self.spark.read.schema(df.schema).parquet(place)
+        self.places.append((kept, place))
+        return kept
+
+    def drop(self, *gone: DataFrame) -> None:
+        for place in [p for df, p in self.places if any(df is g for g in gone)]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def append_history(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

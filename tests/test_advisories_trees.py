@@ -90,7 +90,7 @@ def test_closure_of_a_long_chain(spark):
 def test_origins_of_values(spark):
     flows = spark.createDataFrame([("x", "p"), ("x", "lit"), ("y", "x"), ("z", "lit"), ("u", "w"), ("w", "u"), ("v", "s")], "dst string, src string")
     origins = spark.createDataFrame([("p", "CLIENT", "parameter p"), ("lit", "SERVER_SET", None), ("s", "SESSION_OVERWRITE", "session")], "node string, verdict string, evidence string")
-    got = {r.node: r for r in tracing.value_origins(flows, origins, cut=state.written).collect()}
+    got = {r.node: r for r in tracing.value_origins(flows, origins).collect()}
     assert {n: r.verdict for n, r in got.items()} == {"x": "CLIENT", "y": "CLIENT", "p": "CLIENT", "lit": "SERVER_SET", "z": "SERVER_SET", "u": "UNKNOWN", "w": "UNKNOWN", "v": "SESSION_OVERWRITE", "s": "SESSION_OVERWRITE"}
     assert got["y"].steps == ["y", "x", "parameter p"]
     cases = [("SERVER_SET", "CLIENT", False, "BYPASSABLE"), ("CLIENT", "CLIENT", False, "CLIENT"), (None, None, False, "UNKNOWN"), (None, "CLIENT", False, "CLIENT"), ("CLIENT", None, True, "XML_FIXED"), ("SERVER_SET", None, False, "SERVER_SET")]
@@ -101,7 +101,7 @@ def test_origins_of_values(spark):
 def test_origins_of_values_far_away(spark):
     flows = spark.createDataFrame([*((f"v{i + 1}", f"v{i}") for i in range(43)), ("v43", "lit")], "dst string, src string").coalesce(1)
     origins = spark.createDataFrame([("v0", "CLIENT", None), ("lit", "SERVER_SET", None)], "node string, verdict string, evidence string").coalesce(1)
-    got = {r.node: r for r in tracing.value_origins(flows, origins, cut=state.written).collect()}
+    got = {r.node: r for r in tracing.value_origins(flows, origins).collect()}
     assert got["v43"].verdict == "CLIENT" and len(got["v43"].steps) == 44 and got["lit"].verdict == "SERVER_SET"
 
 
