@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 from siftline.functions.severity import SEVERITIES, severity_rank, verdict_name, verdict_rank
 from siftline.functions.text import digest, joined_remark, truncated
 from siftline.operators.advisories import joined_back
-from siftline.operators.keyed import first_by_key, numbered
+from siftline.operators.keyed import first_by_key, numbered, placed
 
 OPEN, RESOLVED = "OPEN", "RESOLVED"
 
 
-def fingerprinted(matches: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """Adds ``occurrence``, which of its equals a row is from 0, and ``fingerprint`` of keys and occurrence."""
-    counted = numbered(matches, keys, order, name="occurrence")
+def fingerprinted(matches: DataFrame, keys: list[str], order: Column, block: Column | None = None) -> DataFrame:
+    """Adds ``occurrence``, which of its equals a row is from 0, and ``fingerprint`` of keys and occurrence.
+
+    With a ``block`` that does not fall along the order, equals may be any share of the rows: see ``keyed.placed``, whose blocks come from the highest down.
+    """
+    if block is None:
+        counted = numbered(matches, keys, order, name="occurrence")
+    else:
+        counted = placed(matches, keys, [order], -block, name="occurrence").withColumn("occurrence", (F.col("occurrence") - 1).cast("int"))
     return counted.withColumn("fingerprint", digest(*[F.col(k) for k in keys], F.col("occurrence")))
 
 
@@ -62,15 +68,11 @@ def without_same_cwe(findings: DataFrame, traceable: Column) -> tuple[DataFrame,
     # The note's words.
     note, note_end = " (같은 줄·같은 CWE로 함께 탐지된 규칙 ", "을 한 건으로 합침)"
     cwe = F.nullif(F.trim("cwe"), F.lit(""))
-    keys = ["file_path", "start_line", "__cwe"]
+    # A line's findings come together once, and all that is asked of them is asked there.
+    line = Window.partitionBy("file_path", "start_line", "__cwe")
     marked = findings.withColumn("__cwe", cwe).withColumn("__order", F.struct((~traceable).alias("late"), F.col("rule_id").alias("rule")))
-    lines = (
-        marked.where(F.col("__cwe").isNotNull())
-        .groupBy(*keys)
-        .agg(F.min("__order")["rule"].alias("__kept"), F.collect_set("__order").alias("__orders"), F.min(severity_rank(F.col("severity"))).alias("__rank"))
-        .where(F.size("__orders") > 1)
-    )
-    joined = marked.join(lines, keys, "left")
+    asked = {"__orders": F.collect_set("__order").over(line), "__first": F.min("__order").over(line), "__rank": F.min(severity_rank(F.col("severity"))).over(line)}
+    joined = marked.withColumns(asked).withColumn("__kept", F.when(F.col("__cwe").isNotNull() & (F.size("__orders") > 1), F.col("__first.rule")))
     others = F.array_join(F.transform(F.filter(F.array_sort("__orders"), lambda o: o["rule"] != F.col("__kept")), lambda o: o["rule"]), ", ")
     merged = F.col("__kept").isNotNull()
     highest = F.get(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("__rank"))

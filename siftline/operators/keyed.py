@@ -45,6 +45,24 @@ def placed(df: DataFrame, keys: list[str], order: list[Column], block: Column, n
     return marked.withColumn(name, rank).join(starts, same).withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
 
 
+def summed_before(df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows of the same key that come before in ``order``; rows that tie in it must be one.
+
+    With a ``block``, which must not fall along the order, a key may have any share of the rows: a block is added up by itself, and begins at the sum of those before it.
+    """
+    so_far = lambda by, what, *along: F.coalesce(F.sum(what).over(Window.partitionBy(*by).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if block is None:
+        return df.withColumn(name, so_far(keys, value, *order))
+    marked = df.withColumns({"__block": block, "__value": value})
+    sums = marked.groupBy(*keys, "__block").agg(F.sum("__value").alias("__sum"))
+    starts = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__block").alias("__of"), so_far(keys, "__sum", "__block").alias("__start"))
+    same = F.col("__block").eqNullSafe(F.col("__of"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    within = marked.withColumn("__within", so_far([*keys, "__block"], "__value", *order))
+    return within.join(starts, same).select(*df.columns, (F.col("__start") + F.col("__within")).alias(name))
+
+
 def zipped(left: DataFrame, right: DataFrame, keys: list[str], left_order: Column, right_order: Column, values: list[str]) -> DataFrame:
     """``left`` with ``values`` of the row of ``right`` with the same ordinal in its key, where both sides
     have as many rows of the key; else null. ``matched`` says which."""

@@ -7,13 +7,15 @@ tree a row is of. Windows are per tree, so trees are dealt over the cluster and
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.sources.state import written
+from siftline.operators.keyed import summed_before
+from siftline.sources.state import Rounds, written
 
 COORDINATE = r"^((?:\|  |   )*)(?:\+- |\\- )([^:]+):([^:]+)"
 
@@ -49,15 +51,29 @@ def causes(nodes: DataFrame) -> DataFrame:
 def ancestors(nodes: DataFrame) -> DataFrame:
     """``path``: the positions from depth 1 down to each row.
 
-    A row's parent is the nearest row above with a smaller depth. The path is folded over the rows of a
-    tree in their order: what is kept of the path before is as long as the row is deep, less one.
+    A row's parent is the nearest row above with a smaller depth. The rows of a tree are gone through once, with the rows on the way down to the last one at hand;
+    only positions and depths go there, and a tree is one document, whose paths must fit in memory.
     """
-    so_far = Window.partitionBy("tree").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     real = nodes.where("depth IS NOT NULL")
-    deepest = real.agg(F.max("depth")).head()[0] or 1
-    stack = [F.last(F.when(F.col("depth") <= d, F.when(F.col("depth") == d, F.col("pos")).otherwise(-1)), ignorenulls=True).over(so_far) for d in range(1, deepest + 1)]
-    path = F.filter(F.slice(F.array(*stack), F.lit(1), F.col("depth")), lambda p: p >= 0)
-    return real.withColumn("path", path)
+    types = dict(nodes.dtypes)
+
+    def paths(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        way: list[int] = []
+        depths: list[int] = []
+        found = []
+        for pos, depth in zip(rows["pos"].tolist(), rows["depth"].tolist(), strict=True):
+            while depths and depths[-1] >= depth:
+                way.pop()
+                depths.pop()
+            way.append(pos)
+            depths.append(depth)
+            found.append(list(way))
+        return rows[["tree", "pos"]].assign(path=found)
+
+    schema = f"tree {types['tree']}, pos {types['pos']}, path array<{types['pos']}>"
+    by_row = real.select("tree", "pos", "depth").distinct().groupBy("tree").applyInPandas(paths, schema)
+    return real.join(by_row, ["tree", "pos"])
 
 
 def pruned(nodes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -91,23 +107,24 @@ def sections(lines: DataFrame, doc: str, pos: str, line: str, heading: Column) -
     return lines.withColumn("section", F.sum(F.when(heading, 1).otherwise(0)).over(so_far).cast("int"))
 
 
-def within_budget(rows: DataFrame, group: str, order: list[str], size: str, most: int) -> DataFrame:
+def within_budget(rows: DataFrame, group: str, order: list[str], size: str, most: int, block: Column | None = None) -> DataFrame:
     """Rows that still fit when each group's rows are taken in order and those that would exceed ``most`` are skipped.
 
-    What fits depends on what was taken before, so each group is folded in order in one task, on its sizes
-    alone; rows longer than ``most`` go first, natively. The choice is joined back to the rows.
+    Rows that share group and order are one item, of their summed size; sizes are not negative, and a null one is 0. In a round each group takes the longest run of what is
+    left that fits, which a running sum tells; of the rest only items as small as the room that is left stay, so the item that did not fit is gone, and there are as many rounds as
+    skipped items are smaller than all skipped before. Items go through as sizes alone. ``block`` (see ``keyed.summed_before``) deals groups with a large share of all rows out.
     """
-    keys = [group, *order]
-
-    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, keep = 0, []
-        for n in pdf.sort_values(order)[size]:
-            fits = total + n <= most
-            total += n if fits else 0
-            keep.append(fits)
-        return pdf.sort_values(order)[keep][keys]
-
-    narrow = rows.where(F.col(size) <= most).select(*keys, size)
-    types = dict(rows.dtypes)
-    kept = narrow.groupBy(group).applyInPandas(chosen, ", ".join(f"{k} {types[k]}" for k in keys))
-    return rows.join(kept, keys, "left_semi")
+    keys, rounds = [group, *order], Rounds(rows.sparkSession, "within_budget")
+    items = rows.groupBy(*keys).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).cast("long").alias("__size")).where(F.col("__size") <= most).withColumn("__room", F.lit(most).cast("long"))
+    open_, taken = rounds.keep(items), []
+    while not open_.isEmpty():
+        summed = rounds.keep(summed_before(open_, [group], order, block, F.col("__size"), "__before"))
+        fits = F.col("__before") + F.col("__size") <= F.col("__room")
+        took = summed.where(fits)
+        taken.append(took.select(*keys))
+        used = took.groupBy(F.col(group).alias("__group")).agg(F.sum("__size").alias("__used"))
+        left = summed.where(~fits).join(used, F.col(group).eqNullSafe(F.col("__group")), "left").withColumn("__room", F.col("__room") - F.coalesce("__used", F.lit(0)))
+        open_ = rounds.keep(left.where("__size <= __room").select(*keys, "__size", "__room"))
+    kept = reduce(DataFrame.union, taken) if taken else open_.select(*keys)
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys])
+    return rows.alias("r").join(kept.alias("k"), same, "left_semi")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions.text import assigns_secret, html_text, masked, normalized
+from siftline.functions.text import CODE_SECRET, COMMENT_SECRET, CONFIG_SECRET, MASK, assigns_secret, html_text, masked, normalized
 from siftline.operators.findings import fingerprinted, same_origin_key
 from siftline.operators.trees import sections, within_budget
 from siftline.sources.tables import table
@@ -16,17 +16,23 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", normalized(F.col("line")))
 
 
+def _block() -> Column:
+    """What is in order of documents is numbered and added up in blocks of these."""
+    return F.floor(F.col("doc_id") / 4096)
+
+
 def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line's fingerprint: source, normalised line, and which of its equals in the source it is."""
-    found = fingerprinted(_lines(spark, sf_dir), ["source", "line"], F.struct("doc_id", "pos"))
+    found = fingerprinted(_lines(spark, sf_dir), ["source", "line"], F.struct("doc_id", "pos"), _block())
     return found.select("doc_id", "pos", "occurrence", "fingerprint")
 
 
 def q_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that their source has more than once, with their numbers."""
-    by_line = Window.partitionBy("source", "line")
-    found = fingerprinted(_lines(spark, sf_dir), ["source", "line"], F.struct("doc_id", "pos")).withColumn("n", F.count("*").over(by_line))
-    return found.where("n > 1").select("source", "doc_id", "pos", "occurrence", "n")
+    lines = _lines(spark, sf_dir)
+    more = lines.groupBy("source", "line").agg(F.count("*").alias("n")).where("n > 1")
+    found = fingerprinted(lines, ["source", "line"], F.struct("doc_id", "pos"), _block()).join(more, ["source", "line"])
+    return found.select("source", "doc_id", "pos", "occurrence", "n")
 
 
 def q_mask_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +79,7 @@ def q_section_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_budget_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each language's documents in order, those that still fit in 20,000 characters."""
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.length("text").cast("long").alias("size"))
-    return within_budget(docs, "lang", ["doc_id"], "size", 20_000)
+    return within_budget(docs, "lang", ["doc_id"], "size", 20_000, _block())
 
 
 QUERIES = {
@@ -88,15 +94,15 @@ _LINES = r"""
 _NUMBERED = f"{_LINES}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY source, line ORDER BY doc_id, pos) - 1 AS INT) AS occurrence, count(*) OVER (PARTITION BY source, line) AS n FROM l)"
 
 # The masking rules for DuckDB, which has no back references: a quoted piece is of one of two kinds, whose quotes are marked first.
-_SETTING = "password|passwd|secret|api[-_.]?key|access[-_.]?key|private[-_.]?key|token"
-_COMMENT = "password|passwd|pwd|비밀번호|비번|secret|api[-_.]?key|access[-_.]?key|token"
+_QUOTE = "'"
+_CONFIG, _COMMENT, _CODE = (pattern.replace(_QUOTE, _QUOTE * 2) for pattern in (CONFIG_SECRET, COMMENT_SECRET, CODE_SECRET))
 _MASKED = rf"""
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(
         regexp_replace(line, '("(?:[^"\\]|\\.)*")|(''(?:[^''\\]|\\.)*'')', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g'),
-        chr(1) || '"[^' || chr(2) || ']*' || chr(2) || chr(3), '"****"', 'g'),
-        chr(1) || chr(2) || '''[^' || chr(3) || ']*' || chr(3), '''****''', 'g'),
-        '(?i)^(\s*[\w.-]*(?:{_SETTING})[\w.-]*\s*[=:]\s*).+$', '\1****', 'g'),
-        '(?i)((?://|#|<!--|/\*|\*)[^\n]*?(?:{_COMMENT})[\w.-]*\s*[=:]\s*)[^\s''"<>]+', '\1****', 'g')
+        chr(1) || '"[^' || chr(2) || ']*' || chr(2) || chr(3), '"{MASK}"', 'g'),
+        chr(1) || chr(2) || '''[^' || chr(3) || ']*' || chr(3), '''{MASK}''', 'g'),
+        '{_CONFIG}', '\1{MASK}', 'g'),
+        '{_COMMENT}', '\1{MASK}', 'g')
 """
 
 ORACLES = {
@@ -104,12 +110,12 @@ ORACLES = {
     "q_occurrence": f"WITH {_NUMBERED} SELECT source, doc_id, pos, occurrence, n FROM n WHERE n > 1",
     "q_mask_secrets": rf"""
         SELECT doc_id, sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda line: {_MASKED}), chr(10))) AS masked_sha256 FROM documents
-        WHERE regexp_matches(text, '(?i)[\w.]*(?:password|passwd|pwd|secret|api_?key|access_?key|private_?key|token|credential)\w*\s*[=:,(]\s*"[^"]+"')
+        WHERE regexp_matches(text, '{_CODE}')
     """,
     "q_mask_lines": f"WITH {_LINES}, m AS (SELECT doc_id, pos, line, {_MASKED} AS masked FROM l) SELECT doc_id, pos, masked FROM m WHERE masked <> line",
-    "q_secret_blocks": r"""
+    "q_secret_blocks": f"""
         SELECT doc_id FROM documents
-        WHERE regexp_matches(text, '(?i)[\w.]*(?:password|passwd|pwd|secret|api_?key|access_?key|private_?key|token|credential)\w*\s*[=:,(]\s*"[^"]+"')
+        WHERE regexp_matches(text, '{_CODE}')
     """,
     "q_same_origin": r"""
         WITH k AS (SELECT doc_id, source || '|' || coalesce(lang, '') || '|' || nullif(trim(string_split(text, chr(10))[1]), '') AS key FROM documents)
