@@ -85,14 +85,14 @@ def pruned(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return kept.where(F.col("hit").isNull() | F.col("kept") | (F.col("pos") == 0)).drop("hit", "kept")
 
 
-def closure(edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame] = written, most: int | None = None) -> DataFrame:
     """``start, node, depth``: all nodes that edges (``src, dst``) reach, with the least number of steps; starts reach themselves.
 
-    Rounds of joins over the nodes found last, until there are none; cycles end as known nodes are not followed again.
+    Rounds of joins over the nodes found last, until there are none, or after ``most`` steps; cycles end as known nodes are not followed again.
     """
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
     newest = seen
-    for depth in count(1):
+    for depth in count(1) if most is None else range(1, most + 1):
         found = newest.join(edges, newest.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
         newest = cut(found.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if newest.isEmpty():

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import inputs, overview, programs, reviews, state, structure, texts, versions
+from siftline.plans import inputs, overview, programs, reviews, state, structure, surroundings, texts, versions
 
-MODULES = [overview, state, versions, texts, structure, reviews, inputs, programs]
+MODULES = [overview, state, versions, texts, structure, reviews, inputs, programs, surroundings]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
