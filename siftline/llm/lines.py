@@ -27,10 +27,8 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, id_column: st
     # The key is made once a row, before its lines are taken apart.
     keyed = docs.select(row_key(id_column, text_column).alias("k"), F.col(id_column).alias("id"), F.split(F.col(text_column), "\n", -1).alias("lines"))
     lines = keyed.select("k", "id", F.posexplode("lines").alias("pos", "line")).select("k", "id", "pos", line_key(F.col("line")).alias("key"))
-    # A null id is one document more, below all others.
-    doc = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("doc")
     hashed = lines.where(F.char_length("key") >= min_chars).select(
-        "k", doc, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")
+        "k", F.col("id").alias("doc"), "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")
     )
     common = (
         hashed.select("h1", "h2", "doc")
@@ -40,7 +38,8 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, id_column: st
         .where(F.col("n") >= min_docs)
     )
     held = joined_with_hot(hashed, cut(common), ["h1", "h2"], "n", ["keeper"], F.xxhash64("k", "pos"))
-    return held.where("doc <> keeper").groupBy("k").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    # A null id is one document more, below all others.
+    return held.where("NOT doc <=> keeper").groupBy("k").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
 def drop_lines(
@@ -56,19 +55,19 @@ def drop_lines(
     ``min_chars`` code points or more that stand in ``min_docs`` documents or more lose all their
     lines, but in the largest id that holds the key. A null or empty text is one empty line and
     stays empty. Rows with the same id are one document when documents are counted, and so are
-    all rows with a null id, which counts as the smallest. Columns of ``docs`` with the names of
+    all rows with a null id, which counts as the smallest; ids may be of any type with an order. Columns of ``docs`` with the names of
     the added ones are replaced; any others are allowed; repeated rows stay repeated; an empty table gives none.
     A line that very many documents hold is not joined in one task; a text's lines must fit in memory.
     """
     gone = repeated_lines(docs, min_chars, min_docs, id_column, text_column)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_column, text_column).alias("k"))
-    text = F.coalesce(F.col("row")[text_column], F.lit(""))
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), row_key(id_column, text_column).alias("__k"))
+    text = F.coalesce(F.col("__row")[text_column], F.lit(""))
     lines = F.split(text, "\n", -1)
-    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    dropped = F.coalesce("__dropped", F.array().cast("array<int>"))
     staying = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
     kept = F.when(F.size(dropped) > 0, F.array_join(F.transform(staying, lambda at: F.get(lines, at)), "\n")).otherwise(text)
-    return whole.join(gone, "k", "left").select(
-        *[F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")],
+    return whole.join(gone.withColumnsRenamed({"k": "__k", "dropped": "__dropped"}), "__k", "left").select(
+        *[F.col("__row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")],
         F.size(lines).cast("long").alias("n_lines"),
         F.size(dropped).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),

@@ -32,6 +32,15 @@ def test_drop_lines_equals_brute_force(spark):
     assert lines.drop_lines(docs.where("false")).count() == 0
 
 
+def test_clashing_columns_and_ids_of_text(spark):
+    line = "A line of text that is longer than forty characters"
+    names = ["row", "k", "id", "dropped", "line", "pos", "kept_text", "__k"]
+    docs = spark.createDataFrame([(f"d{i}", f"{line}\nown {i}", *map(str, range(len(names)))) for i in range(7)], ", ".join(f"{c} string" for c in ["doc_id", "text", *names]))
+    got = lines.drop_lines(docs).collect()
+    assert {r.doc_id: (r.n_dropped, r.kept_text) for r in got} == {f"d{i}": (int(i < 6), f"own {i}" if i < 6 else f"{line}\nown 6") for i in range(7)}
+    assert all(r.row == "0" and r.k == "1" and r.pos == "5" for r in got)
+
+
 def test_query_equals_brute_force(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
