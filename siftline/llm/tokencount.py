@@ -14,7 +14,8 @@ pieces as they have bytes, each rarer than the rarest piece.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -58,7 +59,9 @@ class Trie(dict):
     def __missing__(self, token: str) -> tuple[int, int]:
         if len(self) >= self.remembered:
             self.clear()
-        if len(self.score) > self.limit:
+        if len(token) > self.limit // 2:
+            return self.rolled(BEGIN + token)
+        if len(self.score) + len(token) > self.limit:
             self.fresh()
         node = self.end(BEGIN + token)
         found = self.count[node], self.score[node]
@@ -66,6 +69,27 @@ class Trie(dict):
             self[token] = found
         return found
 
+    def cut(self, token: str, at: int, before: Callable[[int], tuple[int, int]]) -> tuple[int, int]:
+        """The score and count of the first ``at`` characters; ``before(n)`` has those of the prefix that is ``n`` shorter."""
+        size = len(token[at - 1].encode("utf-8", "surrogatepass"))
+        best, count = before(1)
+        best, count = best + size * self.rare, count + size
+        for n in range(1, min(self.longest, at) + 1):
+            own = self.pieces.get(token[at - n : at])
+            if own is not None:
+                score, pieces = before(n)
+                score += own
+                if score > best or score == best and pieces < count - 1:
+                    best, count = score, pieces + 1
+        return best, count
+
+    def rolled(self, token: str) -> tuple[int, int]:
+        """Count and score of a pre-token that is too long for the trie, of whose prefixes only the last ones' scores are kept."""
+        last: deque[tuple[int, int]] = deque([(0, 0)], maxlen=self.longest)
+        for at in range(1, len(token) + 1):
+            last.append(self.cut(token, at, lambda n: last[-n]))
+        return last[-1][1], last[-1][0]
+
     def end(self, token: str) -> int:
         """The node of ``token``; nodes missing on the way are made, each with its forward score."""
         path, child, scores, counts = [0], self.child, self.score, self.count
@@ -73,15 +97,7 @@ class Trie(dict):
             key = (path[-1], letter)
             node = child.get(key)
             if node is None:
-                size = len(letter.encode("utf-8", "surrogatepass"))
-                best, count = scores[path[-1]] + size * self.rare, counts[path[-1]] + size
-                for n in range(1, min(self.longest, at) + 1):
-                    own = self.pieces.get(token[at - n : at])
-                    if own is not None:
-                        before = path[at - n]
-                        score = scores[before] + own
-                        if score > best or score == best and counts[before] < count - 1:
-                            best, count = score, counts[before] + 1
+                best, count = self.cut(token, at, lambda n: (scores[path[-n]], counts[path[-n]]))
                 node = child[key] = len(scores)
                 scores.append(best)
                 counts.append(count)
@@ -95,7 +111,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_column: str
 
     Pre-tokens are what white space separates, each with a mark of its beginning. A null text
     counts as empty and has none; repeated rows and null ids stay; other columns are not read.
-    Tries live in the tasks, so no pre-token is shuffled, and no more than a bounded number is held.
+    Tries live in the tasks, so no pre-token is shuffled, and no more than ``NODES`` nodes are held: a pre-token with half as many characters is scored
+    beside the trie, with the scores of its last prefixes alone. Texts are read whole, of any length; an empty table gives none; ids are whole numbers.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(vocabulary or public_tokenizers.path(VOCABULARY)))
 

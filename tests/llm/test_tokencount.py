@@ -48,6 +48,13 @@ def test_a_trie_that_starts_afresh_counts_alike():
     assert [small[t] for t in tokens] == [large[t] for t in tokens]
 
 
+def test_a_long_pre_token_makes_no_nodes():
+    trie, large = tc.Trie(PIECES, 60, 10), tc.Trie(PIECES)
+    tokens = ["thing" * 40, "the", "x" * 31, "字🎉" * 20, "thing" * 5]
+    assert [trie[t] for t in tokens] == [large[t] for t in tokens] == [slow(tc.BEGIN + t)[::-1] for t in tokens]
+    assert len(trie.score) <= 60
+
+
 def test_query_and_odd_rows(spark):
     d = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
