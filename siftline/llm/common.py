@@ -57,7 +57,8 @@ def joined_with_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str,
 
     ``right`` has a row for each key and in ``n`` a count that grows with the key's rows in ``left``; it must
     be written, as it is read twice. Keys with over one in ``HOT_KEYS`` of all counts, so fewer than that many, are broadcast;
-    rows that these match pass the other keys' join dealt by ``spread`` instead of by the key. ``left`` is read once.
+    rows that these match pass the other keys' join dealt by ``spread`` instead of by the key. ``left`` is read once. What lies below is left to
+    Spark's splitting of skewed joins, which nothing here keeps from it.
     """
     total = right.agg(F.sum(n)).head()[0] or 0
     is_hot = F.col(n) * HOT_KEYS > total

@@ -237,14 +237,17 @@ def similar_texts(
     types = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
     prints = cut(arrow_rows(narrow, rows, "k binary, id bigint, same binary, n bigint, fp bigint, sketch binary", types))
     # Texts with the same set of shingles are one text here; its number stays its own, as it is written.
-    texts = prints.groupBy("same", "n", "fp", "sketch").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("first"))
+    texts = prints.groupBy("same", "n", "fp", "sketch").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("first"), F.count("*").alias("rows"))
     texts = cut(texts.withColumn("text", F.monotonically_increasing_id()))
     candidates = components(_similar_links(texts.select("text", "fp", "sketch"), radius, similarity))
     grouped = texts.select(F.col("text").alias("node"), "n", F.col("first.k").alias("k")).join(candidates, "node")
     near = components(_exact_links(grouped, narrow.select("k", "text"), similarity, shingle_words))
     rooted = texts.join(near.withColumnRenamed("node", "text"), "text", "left").withColumn("root", F.coalesce("root", "text"))
-    keepers = rooted.groupBy("root").agg(F.min("first")["k"].alias("keeper"))
-    return prints.join(rooted.join(keepers, "root").select("same", "keeper"), "same").select("k", "keeper").distinct()
+    rooted = cut(rooted.select("text", "same", "rows", "root", "first"))
+    keepers = cut(rooted.groupBy("root").agg(F.min("first")["k"].alias("keeper"), F.count("*").alias("texts")))
+    # A text may have any share of the rows, and a group any share of the texts.
+    kept = cut(joined_with_hot(rooted.select("text", "same", "rows", "root"), keepers, ["root"], "texts", ["keeper"], F.xxhash64("text")))
+    return joined_with_hot(prints.select("k", "same"), kept.select("same", "rows", "keeper"), ["same"], "rows", ["keeper"], F.xxhash64("k")).select("k", "keeper").distinct()
 
 
 def _similar_links(texts: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -398,16 +401,19 @@ def near_duplicates(
 
     Fingerprints link when they differ in ``radius`` bits or fewer. Null texts are empty, texts
     without words have fingerprint 0 and link like any other; rows with a null id stay, and a
-    component of such rows alone has a null ``component_id``; repeated rows stay repeated.
+    component of such rows alone has a null ``component_id``; repeated rows stay repeated. An empty table gives none; other columns
+    are not read; texts are read whole, each with its words in memory; ids are whole numbers.
     """
     prints = cut(fingerprints(docs, shingle_words, id_column, text_column))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     roots = components(links(classes.select("fp"), radius))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp")
+    # Of a fingerprint, as of that of no words, there may be any number of rows.
+    of_print = cut(rooted.select("fp", "n", "root").join(named, "root").select("fp", "n", "component_id"))
+    return joined_with_hot(prints, of_print, ["fp"], "n", ["component_id"], F.xxhash64("id"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -55,6 +58,34 @@ def test_odd_rows_and_tables(spark):
     assert docs.where("false").select(toxicity.graded(F.col("text"), model)).count() == 0
 
 
+def test_features_scores_and_grades_recomputed(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    texts, toxic = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    of = lambda text: [f for w in re.findall(r"[^\W\d_]+", text.lower()) for f in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)]]
+    sizes, held = Counter(toxic.values()), Counter()
+    for i, text in texts.items():
+        held.update((f, toxic[i]) for f in set(of(text)))
+    strength = {}
+    for f in {f for f, _ in held}:
+        a, b = held[f, 1], held[f, 0]
+        pooled = (a + b) / sum(sizes.values())
+        z = (a / sizes[1] - b / sizes[0]) / math.sqrt(pooled * (1 - pooled) * (1 / sizes[1] + 1 / sizes[0]) + 1e-12)
+        odds = math.log((a + 0.5) / (sizes[1] - a + 0.5)) - math.log((b + 0.5) / (sizes[0] - b + 0.5))
+        if z >= min(toxicity.LEAST_DEVIATIONS, math.sqrt(sizes[1])) and odds >= toxicity.LEAST_LOG_ODDS:
+            strength[f] = z
+    assert set(model.names) == set(strength) and len(strength) > 3
+    weight = dict(zip(model.names, model.weights, strict=True))
+    got = {r.doc_id: r for r in docs.select("doc_id", toxicity.graded(F.col("text"), model).alias("g")).select("doc_id", "g.*").collect()}
+    for i, text in texts.items():
+        score = sum(weight[f] * math.log2(1 + n) for f, n in Counter(of(text)).items() if f in weight)
+        below = [1 / (1 + math.exp(-max(-40.0, min(40.0, t - score)))) for t in model.thresholds]
+        chances = [y - x for x, y in zip([0, *below], [*below, 1], strict=True)]
+        r = got[i]
+        assert math.isclose(r.expected_severity, sum(1 - x for x in below), abs_tol=1e-9) and math.isclose(r.p_toxic, 1 - below[0], abs_tol=1e-9)
+        assert math.isclose(chances[r.grade], max(chances), abs_tol=1e-9)
+
+
 def test_sample_is_bounded(spark):
     docs, labels = labelled(spark)
     assert toxicity.labelled_sample(docs.union(docs), labels, 37).count() == 37
