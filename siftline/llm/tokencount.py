@@ -48,12 +48,19 @@ class Trie(dict):
     def __init__(self, pieces: dict[str, int], nodes: int = NODES, remembered: int = REMEMBERED) -> None:
         self.pieces, self.limit, self.remembered = pieces, nodes, remembered
         self.longest = max(map(len, pieces), default=1)
+        # The pieces from their ends backwards, letter by letter; a piece's score is under the empty string.
+        self.backwards: dict = {}
+        for piece, own in pieces.items():
+            node = self.backwards
+            for letter in reversed(piece):
+                node = node.setdefault(letter, {})
+            node[""] = own
         self.rare = min(pieces.values(), default=0) - SCALE
         self.made = 0
         self.fresh()
 
     def fresh(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.children: list[dict[str, int]] = [{}]
         self.score, self.count = [0], [0]
 
     def __missing__(self, token: str) -> tuple[int, int]:
@@ -69,41 +76,50 @@ class Trie(dict):
             self[token] = found
         return found
 
-    def cut(self, token: str, at: int, before: Callable[[int], tuple[int, int]]) -> tuple[int, int]:
-        """The score and count of the first ``at`` characters; ``before(n)`` has those of the prefix that is ``n`` shorter."""
-        size = len(token[at - 1].encode("utf-8", "surrogatepass"))
-        best, count = before(1)
-        best, count = best + size * self.rare, count + size
-        for n in range(1, min(self.longest, at) + 1):
-            own = self.pieces.get(token[at - n : at])
-            if own is not None:
-                score, pieces = before(n)
-                score += own
-                if score > best or score == best and pieces < count - 1:
-                    best, count = score, pieces + 1
-        return best, count
-
     def rolled(self, token: str) -> tuple[int, int]:
         """Count and score of a pre-token that is too long for the trie, of whose prefixes only the last ones' scores are kept."""
         last: deque[tuple[int, int]] = deque([(0, 0)], maxlen=self.longest)
-        for at in range(1, len(token) + 1):
-            last.append(self.cut(token, at, lambda n: last[-n]))
+        for at, letter in enumerate(token, 1):
+            size = len(letter.encode("utf-8", "surrogatepass"))
+            ways = [(last[-1][0] + size * self.rare, -last[-1][1] - size)]
+            for n in range(1, min(self.longest, at) + 1):
+                own = self.pieces.get(token[at - n : at])
+                if own is not None:
+                    ways.append((last[-n][0] + own, -last[-n][1] - 1))
+            score, fewest = max(ways)
+            last.append((score, -fewest))
         return last[-1][1], last[-1][0]
 
     def end(self, token: str) -> int:
         """The node of ``token``; nodes missing on the way are made, each with its forward score."""
-        path, child, scores, counts = [0], self.child, self.score, self.count
-        for at, letter in enumerate(token, 1):
-            key = (path[-1], letter)
-            node = child.get(key)
+        path, children, scores, counts = [0], self.children, self.score, self.count
+        node, backwards, rare = 0, self.backwards, self.rare
+        for at, letter in enumerate(token):
+            known = children[node]
+            node = known.get(letter)
             if node is None:
-                best, count = self.cut(token, at, lambda n: (scores[path[-n]], counts[path[-n]]))
-                node = child[key] = len(scores)
+                size = 1 if letter < "\x80" else len(letter.encode("utf-8", "surrogatepass"))
+                before = path[-1]
+                best, count = scores[before] + size * rare, counts[before] + size
+                ends, begin = backwards.get(letter), at
+                while ends is not None:
+                    own = ends.get("")
+                    if own is not None:
+                        before = path[begin]
+                        score = scores[before] + own
+                        if score > best or score == best and counts[before] < count - 1:
+                            best, count = score, counts[before] + 1
+                    if not begin:
+                        break
+                    begin -= 1
+                    ends = ends.get(token[begin])
+                node = known[letter] = len(scores)
                 scores.append(best)
                 counts.append(count)
+                children.append({})
                 self.made += 1
             path.append(node)
-        return path[-1]
+        return node
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
