@@ -221,6 +221,27 @@ def rule_changes(drafted: DataFrame, current: DataFrame, dismissed: DataFrame) -
     return keyed.join(dismissed.select("change_key"), "change_key", "left_anti").withColumn("automatic", F.col("change") == "ADD")
 
 
+def overwrite_changes(drafted: DataFrame, existing: DataFrame) -> DataFrame:
+    """``change, target, key, automatic``: how rules on what a session overwrites are to change by a new draft.
+
+    ``drafted``: ``target, key, session`` (whether the code puts the session's value there; of several rows of a key one that does is enough); ``existing``: ``target, key``. Session keys
+    of a target without a rule are ADD_OVERWRITE, others that are not there yet ADD_KEYS; a key that is there is REMOVE_KEYS only if the draft has it as none of the session's, so
+    what a draft does not see stays. Removals need a person.
+    """
+    keyed = drafted.groupBy("target", "key").agg(F.bool_or(F.coalesce("session", F.lit(False))).alias("session"))
+    there = existing.select("target", "key").distinct().withColumn("there", F.lit(True))
+    known = existing.select("target").distinct().withColumn("known", F.lit(True))
+    met = keyed.join(there, ["target", "key"], "left").join(known, "target", "left").where(F.col("session") == F.col("there").isNull())
+    change = F.when(F.col("session") & F.col("known").isNull(), "ADD_OVERWRITE").when(F.col("session"), "ADD_KEYS").otherwise("REMOVE_KEYS")
+    return met.select(change.alias("change"), "target", "key", F.col("session").alias("automatic"))
+
+
+def active_rules(files: DataFrame, judged: dict[str, bool]) -> DataFrame:
+    """``rule_id`` of all rules whose absence in a scan means something: those of the files, and those of further judges that came to a judgement."""
+    more = files.sparkSession.createDataFrame([(r,) for r, done in judged.items() if done], "rule_id string")
+    return files.select("rule_id").union(more).distinct()
+
+
 def proposals(latest: DataFrame, changes: DataFrame) -> DataFrame:
     """Proposals after a new draft: ``latest`` has ``change_key, status``; dismissed ones stay dismissed, pending ones whose change
     is gone are OBSOLETE, new changes are PENDING or AUTO_APPLIED."""

@@ -72,3 +72,18 @@ def resolved_files(uses: DataFrame, files: DataFrame) -> DataFrame:
     ranked = joined.withColumn("best", F.max("score").over(by_use)).where("score = best OR path IS NULL")
     counted = ranked.withColumn("n", F.count("*").over(by_use)).withColumn("first", F.row_number().over(by_use.orderBy("path")))
     return counted.where("first = 1").select("from_path", "name", F.when(F.col("n") == 1, F.col("path")).alias("path"))
+
+
+def latest_page(df: DataFrame, at: str, ties: list[str], most: int = 500) -> DataFrame:
+    """The latest ``most`` rows, those without a time last; a top-k, so no task has more than as many of each other."""
+    return df.orderBy(F.desc_nulls_last(at), *ties).limit(most)
+
+
+def granted(grants: DataFrame, programs: DataFrame) -> DataFrame:
+    """``user_id, program_id, buttons``: what users may press in each program: what both the grant and the program have; only active ones of either count.
+
+    ``grants``: ``user_id, program_id, buttons, active``; ``programs``: ``program_id, buttons, active``. Buttons are in the grant's order; none is an empty array.
+    """
+    own = grants.where("active").select("user_id", "program_id", "buttons")
+    open_ = programs.where("active").select("program_id", F.col("buttons").alias("of_program"))
+    return own.join(open_, "program_id").select("user_id", "program_id", F.array_intersect("buttons", "of_program").alias("buttons"))

@@ -119,7 +119,7 @@ def archive_files(archives: DataFrame, most_files: int = 20_000, most_bytes: int
 
 
 def rule_files(files: DataFrame) -> DataFrame:
-    """``rule_id, severity, cwe, trace, version`` of analyzer rules in YAML (``path, text``); the version is 12 hex digits of all texts.
+    """``rule_id, severity, cwe, trace`` of analyzer rules in YAML (``path, text``); a file without rules gives none, nor does a rule without an id.
 
     Rule files are configuration: a few hundred lines, parsed where they are read.
     """
@@ -130,16 +130,32 @@ def rule_files(files: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                for rule in (yaml.safe_load(text) or {}).get("rules", []):
-                    meta = rule.get("metadata") or {}
+                document = yaml.safe_load(text)
+                for rule in (document.get("rules") if isinstance(document, dict) else None) or []:
+                    if not isinstance(rule, dict) or rule.get("id") is None:
+                        continue
+                    meta = rule.get("metadata") if isinstance(rule.get("metadata"), dict) else {}
                     cwe = meta.get("cwe")
-                    rows.append((rule["id"], rule.get("severity"), cwe[0] if isinstance(cwe, list) and cwe else cwe, meta.get("trace")))
+                    rows.append((str(rule["id"]), rule.get("severity"), cwe[0] if isinstance(cwe, list) and cwe else cwe, meta.get("trace")))
             yield pd.DataFrame(rows, columns=["rule_id", "level", "cwe", "trace"])
 
     rules = files.select("text").mapInPandas(parse, "rule_id string, level string, cwe string, trace string")
     return rules.select("rule_id", severity_of_level(F.col("level")).alias("severity"), "cwe", "trace")
 
 
+def rule_set(files: DataFrame) -> DataFrame:
+    """The rules of ``rule_files`` with ``version``, 12 hex digits that change with any text (``path, text``, in order of paths).
+
+    No rules at all are an error: a scan without rules would find nothing, and solve all that is known.
+    """
+    rules = rule_files(files).dropDuplicates(["rule_id"])
+    if rules.isEmpty():
+        raise ValueError("there are no rules in these files")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda f: f["text"])
+    version = files.agg(F.substring(F.sha2(F.array_join(texts, ""), 256), 1, 12)).head()[0]
+    return rules.withColumn("version", F.lit(version))
+
+
 def rules_version(texts: list[tuple[str, str]]) -> str:
     """Twelve hex digits that change with any rule file (name, text)."""
     whole = hashlib.sha256()
