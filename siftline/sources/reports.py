@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.severity import severity_of_level
@@ -195,3 +195,59 @@ def mapper_statements(files: DataFrame) -> DataFrame:
         F.array_distinct(F.concat(names(1), names(2))).alias("uses"),
         F.regexp_extract_all("s", F.lit(INCLUDE), F.lit(1)).alias("includes"),
     )
+
+
+# How mapper files name values (put in as text or bound, in either notation), the keywords and tags that tell a condition from a value, and words of OGNL.
+USES = r"\$\{[^}]+\}|#\{[^}]+\}"
+OLD_USES = r"\$[A-Za-z_][\w.\[\]]*\$|#[A-Za-z_][\w.\[\]]*(?:[:,][^#\n]*)?#"
+FIRST_NAME = r"^[$#]\{?\s*([A-Za-z_$][\w$]*)"
+CLAUSES, VALUE_CLAUSES = r"\b(WHERE|ON|HAVING|SET|VALUES|UPDATE)\b", ["SET", "VALUES", "UPDATE"]
+CONDITION_WORDS = ["WHERE", "AND", "OR"]
+OGNL_WORDS = ["and", "or", "not", "null", "true", "false", "eq", "neq", "lt", "gt", "lte", "gte", "in", "instanceof", "new", "_databaseId"]
+
+
+def _means_condition(tag: Column) -> Column:
+    """Whether an open dynamic tag says that what stands in it is part of a condition (true) or a value (false); null if it says nothing."""
+    name = F.lower(F.regexp_extract(tag, r"^<\s*([\w.:-]+)", 1))
+    attribute = lambda key: F.upper(F.trim(F.regexp_extract(tag, rf"(?s)\b{key}\s*=\s*[\"']([^\"']*)[\"']", 1)))
+    prefix = F.when(name == "trim", attribute("prefix")).otherwise("")
+    return F.when((name == "where") | (prefix == "WHERE"), True).when((name == "set") | (prefix == "SET"), False).when(attribute("prepend").isin(CONDITION_WORDS), True).when(attribute("prepend") == "SET", False)
+
+
+def mapper_uses(files: DataFrame) -> DataFrame:
+    """``path, id, kind, pos, name, how, condition``: each value that a statement of a mapper file (``path, text``) uses, by its first name.
+
+    ``how`` is TEXT if it is put in as it is (``${}``, in the old notation ``$x$``) or BOUND (``#{}``, ``#x#``); the old notation counts in files with a ``sqlMap`` alone. ``condition`` tells whether it
+    stands in a condition: by the innermost open tag that says so, else by the last keyword of the SQL before it, comments left out; without either only an insert's is a value.
+    """
+    old = files.select("path", F.when(F.col("text").contains("<sqlMap"), F.lit(OLD_USES)).otherwise(F.lit(USES)).alias("notation"))
+    each = mapper_statements(files).select("path", "id", "kind", "body").join(old, "path")
+    taken = each.select("path", "id", "kind", F.regexp_extract_all("body", F.col("notation"), F.lit(0)).alias("all"), F.split("body", F.col("notation"), -1).alias("rest"))
+    placed = taken.select("path", "id", "kind", "rest", F.posexplode("all").alias("pos", "token")).withColumn("before", F.array_join(F.slice("rest", F.lit(1), F.col("pos") + 1), " "))
+    tags = F.regexp_extract_all("before", F.lit(r"<[^>]*>"), F.lit(0))
+    open_tags = F.aggregate(
+        tags, F.array().cast("array<string>"),
+        lambda held, tag: F.when(tag.startswith("</"), F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(tag.endswith("/>"), held).otherwise(F.array_append(held, tag)),
+    )
+    by_tag = F.get(F.filter(F.transform(F.reverse(open_tags), _means_condition), lambda m: m.isNotNull()), 0)
+    sql = F.regexp_replace(F.regexp_replace("before", r"<[^>]*>", " "), r"(?s)--[^\n]*|/\*.*?\*/", " ")
+    last = F.try_element_at(F.regexp_extract_all(F.upper(sql), F.lit(CLAUSES), F.lit(1)), F.lit(-1))
+    by_keyword = F.when(last.isNotNull(), ~last.isin(VALUE_CLAUSES))
+    return placed.select(
+        "path", "id", "kind", "pos", F.regexp_extract("token", FIRST_NAME, 1).alias("name"), F.when(F.col("token").startswith("$"), "TEXT").otherwise("BOUND").alias("how"),
+        F.coalesce(by_tag, by_keyword, F.col("kind") != "insert").alias("condition"),
+    )
+
+
+def ognl_names(expression: Column) -> Column:
+    """The names in a condition of a dynamic tag, in order, each once: no strings, words of the language, members after a dot, or calls."""
+    bare = F.regexp_replace(expression, r"'[^']*'|\"[^\"]*\"", " ")
+    names = F.regexp_extract_all(bare, F.lit(r"(?<![\w.$@])([A-Za-z_$][\w$]*+)(?!\s*\()"), F.lit(1))
+    return F.array_distinct(F.filter(names, lambda n: ~n.isin(OGNL_WORDS)))
+
+
+def unescaped(value: Column) -> Column:
+    """The five entities of XML resolved, the ampersand last."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(entity), F.lit(sign))
+    return value
