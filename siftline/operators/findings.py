@@ -25,10 +25,18 @@ def fingerprinted(matches: DataFrame, keys: list[str], order: Column, block: Col
     if block is None:
         counted = numbered(matches, keys, order, name="occurrence")
     else:
-        counted = placed(matches, keys, [order], -block, name="occurrence").withColumn("occurrence", (F.col("occurrence") - 1).cast("int"))
+        # Rows are dealt by a digest of their keys, which may be long.
+        told = matches.withColumn("__same", equal_key(*keys))
+        counted = placed(told, ["__same"], [order], -block, name="occurrence").withColumn("occurrence", (F.col("occurrence") - 1).cast("int")).drop("__same")
     return counted.withColumn("fingerprint", digest(*[F.col(k) for k in keys], F.col("occurrence")))
 
 
+def equal_key(*keys: str) -> Column:
+    """128 bits that rows with equal keys share; null is a value of its own."""
+    told = [F.when(F.col(k).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string"))) for k in keys]
+    return F.unhex(F.md5(F.concat(*told).cast("binary")))
+
+
 def without_nested(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Findings that lie in no other of the same rule and file, and for the others which rule covers them.
 

@@ -34,15 +34,14 @@ def placed(df: DataFrame, keys: list[str], order: list[Column], block: Column, n
     ``block`` must fall with the order: rows of a higher block come first, those without a block last. A block is ranked by itself, and
     begins after as many rows as the blocks before it have, which are counted first.
     """
-    marked = df.withColumn("__block", block)
-    sizes = marked.groupBy(*keys, "__block").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("__block")).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__block").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
-    same = F.col("__block").eqNullSafe(F.col("__of"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(*order))
-    return marked.withColumn(name, rank).join(starts, same).withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
+    # One key for window and join, so that rows are dealt once; nulls within it are equal.
+    marked = df.withColumn("__key", F.struct(*keys, block.alias("__block")))
+    sizes = marked.groupBy("__key").agg(F.count("*").alias("__n"))
+    of_key = Window.partitionBy(*[F.col(f"__key.{k}") for k in keys]).orderBy(F.desc_nulls_last("__key.__block"))
+    before = F.sum("__n").over(of_key.rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__key", F.coalesce(before, F.lit(0)).alias("__before"))
+    ranked = marked.withColumn(name, F.row_number().over(Window.partitionBy("__key").orderBy(*order)))
+    return ranked.join(starts, "__key").select(*df.columns, (F.col(name) + F.col("__before")).alias(name))
 
 
 def summed_before(df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: Column, name: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.text import CODE_SECRET, COMMENT_SECRET, CONFIG_SECRET, MASK, assigns_secret, html_text, masked, normalized
-from siftline.operators.findings import fingerprinted, same_origin_key
+from siftline.operators.findings import equal_key, fingerprinted, same_origin_key
+from siftline.operators.keyed import placed
 from siftline.operators.trees import sections, within_budget
 from siftline.sources.tables import table
 
@@ -29,10 +30,10 @@ def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that their source has more than once, with their numbers."""
-    lines = _lines(spark, sf_dir)
-    more = lines.groupBy("source", "line").agg(F.count("*").alias("n")).where("n > 1")
-    found = fingerprinted(lines, ["source", "line"], F.struct("doc_id", "pos"), _block()).join(more, ["source", "line"])
-    return found.select("source", "doc_id", "pos", "occurrence", "n")
+    lines = _lines(spark, sf_dir).select("source", "doc_id", "pos", equal_key("source", "line").alias("key"))
+    more = lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = placed(lines, ["key"], [F.col("doc_id"), F.col("pos")], -_block()).join(more, "key")
+    return found.select("source", "doc_id", "pos", (F.col("place") - 1).cast("int").alias("occurrence"), "n")
 
 
 def q_mask_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
