@@ -130,14 +130,15 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return arrow_rows(narrow, rows, "id bigint, fingerprint string", [pa.int64(), pa.string()])
 
 
-def _placed(bounds: np.ndarray, nexts: dict[int, int] | None = None):
+def _placed(bounds: np.ndarray):
     """Pandas UDF: the ranges that a row goes to: its own, and the one before if its id is the first of its own."""
 
     @F.pandas_udf("array<int>")
     def ranges(ids: pd.Series) -> pd.Series:
         values = ids.to_numpy()
-        own = np.searchsorted(bounds, values, side="right")
-        return pd.Series([[int(r)] if nexts is None or v not in nexts else [int(r), nexts[v]] for r, v in zip(own, values, strict=True)])
+        own = np.searchsorted(bounds, values, side="right") - 1
+        before = np.where(bounds[own] == values, (own - 1) % len(bounds), -1)
+        return pd.Series([[int(r)] if b < 0 else [int(r), int(b)] for r, b in zip(own, before, strict=True)])
 
     return ranges
 
@@ -146,25 +147,23 @@ def with_next(docs: DataFrame, ranges: int | None = None, id_column: str = "doc_
     """Rows dealt in ``ranges`` ranges of ascending ids: ``range``, ``visits``, ``id``, ``text``; by default as many as hold ``RANGE_BYTES`` each.
 
     Each range's rows are sorted and followed by the first row of the range after it, for which
-    ``visits`` is 1; after the last range the first one's comes. The texts are shuffled once; only
-    the bounds of the ranges and their first ids, ``ranges`` of each, pass through the driver.
+    ``visits`` is 1; after the last range the first one's comes. Spark's own range partitioning of the ids alone finds the ranges, and
+    only the least id of each passes through the driver: 8 bytes for ``RANGE_BYTES`` of text. The texts are shuffled once, into as many tasks
+    as there are ranges.
     """
     order: Column = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
     ids = docs.select(order.alias("o"))
     if ranges is None:
         n_bytes = docs.agg(F.sum(F.octet_length(text_column))).head()[0] or 0
         ranges = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // RANGE_BYTES))
-    cuts = ids.agg(F.percentile_approx("o", [i / ranges for i in range(1, ranges)], 100 * ranges)).head()[0]
-    bounds = np.unique(np.array(cuts or [], dtype=np.int64))
-    firsts = ids.select(_placed(bounds)("o")[0].alias("r"), "o").groupBy("r").agg(F.min("o").alias("o")).collect()
-    firsts = sorted((r.r, r.o) for r in firsts)
-    nexts = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+    firsts = ids.repartitionByRange(ranges, "o").groupBy(F.spark_partition_id()).agg(F.min("o").alias("o")).select("o").toPandas()["o"]
+    bounds = np.sort(firsts.to_numpy(dtype=np.int64)) if len(firsts) else np.zeros(1, dtype=np.int64)
     placed = docs.select(
         F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), order.alias("o")
-    ).select("id", "text", "o", F.posexplode(_placed(bounds, nexts)("o")).alias("visits", "range"))
+    ).select("id", "text", "o", F.posexplode(_placed(bounds)("o")).alias("visits", "range"))
     return (
         placed.withColumn("tie", F.xxhash64("text"))
-        .repartition("range")
+        .repartition(ranges, "range")
         .sortWithinPartitions("range", "visits", "o", "tie")
         .select("range", "visits", "id", "text")
     )
