@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 #: A key of a join is hot if it has over one in so many of the rows.
 HOT_KEYS = 1000
+#: ... or if it has over so many rows, however many there are in all: what one task may get of a key.
+HOT_ROWS = 5_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,16 +58,18 @@ def joined_with_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str,
     """Inner join of ``left`` with ``values`` of ``right``, where a key may stand in any share of the rows.
 
     ``right`` has a row for each key and in ``n`` a count that grows with the key's rows in ``left``; it must
-    be written, as it is read twice. Keys with over one in ``HOT_KEYS`` of all counts, so fewer than that many, are broadcast;
-    rows that these match pass the other keys' join dealt by ``spread`` instead of by the key. ``left`` is read once. What lies below is left to
-    Spark's splitting of skewed joins, which nothing here keeps from it.
+    be written, as it is read twice. Keys with over one in ``HOT_KEYS`` of all counts or over ``HOT_ROWS`` are hot, so no task gets more of one key
+    at any size. They are fewer than ``HOT_KEYS`` and one for ``HOT_ROWS`` of all counts together (a million for 5 * 10^12), and broadcast;
+    rows that these match pass the other keys' join dealt by ``spread`` instead of by the key. ``left`` is read once.
     """
     total = right.agg(F.sum(n)).head()[0] or 0
-    is_hot = F.col(n) * HOT_KEYS > total
+    is_hot = F.col(n) > min(total // HOT_KEYS, HOT_ROWS)
     hot = right.where(is_hot).select(*keys, F.lit(True).alias("__hot"), *[F.col(v).alias(f"__{v}") for v in values])
-    rest = right.where(~is_hot).select(*keys, F.lit(0).cast("long").alias("__part"), F.lit(True).alias("__met"), *values)
+    # A constant in place of the hash would be folded out of the join, and hot rows be dealt by the key again.
+    of_key = F.xxhash64(*keys)
+    rest = right.where(~is_hot).select(*keys, of_key.alias("__part"), F.lit(True).alias("__met"), *values)
     marked = left.join(F.broadcast(hot), keys, "left")
-    dealt = marked.withColumn("__part", F.when(F.col("__hot"), spread).otherwise(F.lit(0).cast("long")))
+    dealt = marked.withColumn("__part", F.when(F.col("__hot"), spread).otherwise(of_key))
     met = dealt.join(rest, [*keys, "__part"], "left").where("__hot OR __met")
     return met.select(*[met[c] for c in left.columns], *[F.coalesce(F.col(f"__{v}"), F.col(v)).alias(v) for v in values])
 
