@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import inputs, overview, programs, records, reviews, state, structure, surroundings, texts, versions
+from siftline.plans import inputs, overview, profiles, programs, records, reviews, state, structure, surroundings, texts, versions
 
-MODULES = [overview, state, versions, texts, structure, reviews, inputs, programs, surroundings, records]
+MODULES = [overview, state, versions, texts, structure, reviews, inputs, programs, surroundings, records, profiles]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
