@@ -65,11 +65,11 @@ def joined_with_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str,
     total = right.agg(F.sum(n)).head()[0] or 0
     is_hot = F.col(n) > min(total // HOT_KEYS, HOT_ROWS)
     hot = right.where(is_hot).select(*keys, F.lit(True).alias("__hot"), *[F.col(v).alias(f"__{v}") for v in values])
-    # A constant in place of the hash would be folded out of the join, and hot rows be dealt by the key again.
-    of_key = F.xxhash64(*keys)
-    rest = right.where(~is_hot).select(*keys, of_key.alias("__part"), F.lit(True).alias("__met"), *values)
+    # Always 0, but not to the optimizer: a constant would be folded out of the join, and hot rows be dealt by the key again.
+    zero = (F.col(n) % 1).cast("long")
+    rest = right.where(~is_hot).select(*keys, zero.alias("__part"), F.lit(True).alias("__met"), *values)
     marked = left.join(F.broadcast(hot), keys, "left")
-    dealt = marked.withColumn("__part", F.when(F.col("__hot"), spread).otherwise(of_key))
+    dealt = marked.withColumn("__part", F.when(F.col("__hot"), spread).otherwise(F.lit(0).cast("long")))
     met = dealt.join(rest, [*keys, "__part"], "left").where("__hot OR __met")
     return met.select(*[met[c] for c in left.columns], *[F.coalesce(F.col(f"__{v}"), F.col(v)).alias(v) for v in values])
 
