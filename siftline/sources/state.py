@@ -27,6 +27,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to as many partitions as the session shuffles to. Adaptive execution puts others together by their compressed bytes, and columns that compress
+    well may take a hundred times as much once they are sorted or gathered; partitions of a given number it leaves alone. Not for keys that may have any share of the rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class Rounds:
     """Tables that rounds of an iteration write to the shared folder, each of which can be removed once nothing reads it any more.
 

@@ -139,3 +139,25 @@ def test_deep_trees_and_common_lines(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, by_block.collect()))
     sums = keyed.summed_before(rows, ["k"], ["pos"], F.floor(F.col("pos") / 50), F.col("pos"), "s").where("pos = 899").head().s
     assert sums == sum(range(1, 899, 2))
+
+
+def test_coordinates_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Estimates count neither the beginnings of a coordinate nor how well coordinates compress, so a small file may be too large for the driver."""
+    plans, keep = [], notes.Rounds.keep if hasattr(notes, "Rounds") else None
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    if keep:
+        monkeypatch.setattr(notes.Rounds, "keep", lambda self, df: seen(df) or keep(self, df))
+    rows = [(f"g:{i}", [1, i % 3, 0], [1, 5, 0], f"https://github.com/o/r{i % 2}") for i in range(300)]
+    spark.createDataFrame(rows, "coordinate string, start array<int>, end array<int>, scm string").write.parquet(f"{tmp_path}/wanted")
+    wanted = spark.read.parquet(f"{tmp_path}/wanted")
+    rules = spark.createDataFrame([("g:1", 1, "GUIDE", "d/{line}", "{line}", False), ("g:12", 2, "GUIDE", "d/{line}", "{line}", False), ("g:12", 2, "GUIDE", "e", "e", None)], "prefix string, pos int, kind string, url string, title string, by_section boolean")
+    documents = spark.createDataFrame([("d/1.3", "three"), ("d/1.4", "four"), ("d/1.9", "no"), ("e", "e")], "url string, text string")
+    releases_ = spark.createDataFrame([("GITHUB", "o/r0", "v1.2.0", "u", "t"), ("GITHUB", "o/r0", "v1.3.0", "u", "t"), ("GITHUB", "o/r1", "v1.6.0", "u", "t")], "host string, path string, name string, url string, text string")
+    result = notes.first_with_documents(wanted, [lambda w: notes.rule_documents(w, rules, documents), lambda w: notes.repository_releases(w, releases_, "GITHUB")])
+    seen(result)
+    want = []
+    for c, start, _, scm in rows:
+        titles = [t for t in ("1.3", "1.4") if c.startswith("g:1")] + ["e"] * c.startswith("g:12")
+        want += [(c, "RULE", t) for t in titles] or [(c, "GITHUB", v) for v, minor in (("v1.2.0", 2), ("v1.3.0", 3)) if scm.endswith("r0") and minor > start[1]]
+    assert sorted((r.coordinate, r.source, r.title) for r in result.collect()) == sorted(want)
+    assert not [line for p in plans for line in p.splitlines() if "BroadcastHashJoin [prefix" in line or "BroadcastHashJoin [path" in line]
