@@ -180,22 +180,33 @@ def retired(findings: DataFrame, retired_rules: DataFrame, now: Column) -> DataF
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in findings.columns])
 
 
-def smallest_enclosing(points: DataFrame, ranges: DataFrame, file: str, line: str, block: int = 512) -> DataFrame:
+#: The blocks of 2, 4, 8 ... lines that tile a range, by the power and the number of the block: two of a power at most.
+TILES = """
+    flatten(transform(sequence(0, cast(log2(last - first + 1) AS int) + 1), p -> transform(
+        array(struct(p AS power, -shiftright(-first, p) AS lo, shiftright(last + 1, p) - 1 AS hi)),
+        t -> array(if(t.lo <= t.hi AND t.lo & 1 = 1, struct(t.power AS power, t.lo AS block), null), if(t.lo <= t.hi AND t.hi & 1 = 0, struct(t.power AS power, t.hi AS block), null))
+    )))
+"""
+
+
+def smallest_enclosing(points: DataFrame, ranges: DataFrame, file: str, line: str) -> DataFrame:
     """``points`` with ``range_id`` of the shortest range of the file that holds the line; null without one.
 
-    ``ranges``: ``file, first, last, range_id``. Ranges are dealt by file and block of lines; of those that hold a whole block only the
-    shortest goes there, so that long ranges do not meet every point. Each different point is looked up once; repeated rows stay repeated.
+    ``ranges``: ``file, first, last, range_id``. A range goes to the blocks of 1, 2, 4 ... lines that tile it, at most two of each size, and of a block's ranges only the shortest
+    stays. A line is in one block of each size, so that points and ranges never meet one by one. Each different point is looked up once; repeated rows stay repeated.
     """
-    spread = ranges.where("first <= last").select(
-        F.col("file").alias("r_file"), "first", "last", F.struct((F.col("last") - F.col("first")).alias("size"), "first", "range_id").alias("r"),
-        F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))).alias("r_block"),
-    )
-    whole = (F.col("first") <= F.col("r_block") * block) & (F.col("last") >= F.col("r_block") * block + block - 1)
-    over = spread.where(whole).groupBy("r_file", "r_block").agg(F.min("r").alias("r"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
-    part = spread.where(~whole).select("r_file", "r_block", "r", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
-    known = points.select(F.col(file).alias("p_file"), F.col(line).alias("p_line")).distinct()
-    holds = (F.col("r_file") == F.col("p_file")) & (F.col("r_block") == F.floor(F.col("p_line") / block)) & (F.col("first").isNull() | F.col("p_line").between(F.col("first"), F.col("last")))
-    best = known.join(over.select(*part.columns).unionByName(part), holds).groupBy("p_file", "p_line").agg(F.min("r")["range_id"].alias("range_id"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    # Of equal ranges one stays, so that size and beginning name a range; as one number they are compared without sorting rows.
+    spans = ranges.where("first <= last").groupBy(F.col("file").alias("r_file"), long("first"), long("last")).agg(F.min("range_id").alias("range_id"))
+    order = (F.shiftleft(F.col("last") - F.col("first"), 32) + F.col("first")).alias("order")
+    tiles = spans.select("r_file", "range_id", order, F.explode(F.flatten(F.expr(TILES))).alias("t")).where("t IS NOT NULL").select("r_file", "range_id", "order", "t.power", F.col("t.block").alias("r_block"))
+    shortest = tiles.groupBy("r_file", "power", "r_block").agg(F.min_by("range_id", "order").alias("range_id"), F.min("order").alias("order"))
+    powers = ranges.where("first <= last").agg(F.max(F.col("last").cast("long") - F.col("first").cast("long") + 1).alias("longest"))
+    known = points.select(F.col(file).alias("p_file"), F.col(line).alias("p_line")).distinct().crossJoin(F.broadcast(powers)).where("longest IS NOT NULL")
+    asked = known.select("p_file", "p_line", F.explode(F.expr("sequence(0, cast(log2(longest) AS int) + 1)")).alias("p_power"))
+    within = asked.select("p_file", "p_line", "p_power", F.expr("shiftright(cast(p_line AS bigint), p_power)").alias("p_block"))
+    holds = (F.col("r_file") == F.col("p_file")) & (F.col("power") == F.col("p_power")) & (F.col("r_block") == F.col("p_block"))
+    best = within.join(shortest, holds).groupBy("p_file", "p_line").agg(F.min_by("range_id", "order").alias("range_id"))
     return joined_back(points, best.withColumnsRenamed({"p_file": file, "p_line": line}), [file, line])
 
 
