@@ -31,7 +31,7 @@ def q_framed_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(supplier.where("s % 10 = 0").select(param, F.lit("CLIENT")))
         .withColumn("evidence", F.lit(None).cast("string"))
     )
-    return framed_origins(flows, returns, arguments, origins).where("substring(node, 1, 1) IN ('x', 'r', 'p')").select("node", "verdict")
+    return framed_origins(flows, returns, arguments, origins, steps=False).where("substring(node, 1, 1) IN ('x', 'r', 'p')").select("node", "verdict")
 
 
 def q_must_put(spark: SparkSession, sf_dir: str) -> DataFrame:
