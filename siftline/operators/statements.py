@@ -23,17 +23,22 @@ PASSING = ["DO", "LABELED", "SYNCHRONIZED"]
 
 
 def depths(statements: DataFrame, rounds: Rounds) -> DataFrame:
-    """``stmt, depth``: how many statements each stands in. Ways up double each round; what stands in itself has no depth."""
-    ups = rounds.keep(statements.select("stmt", F.col("parent").alias("up"), F.lit(0).alias("depth")))
-    before = -1
+    """``stmt, depth``: how many statements each stands in. Ways up double each round; what stands in itself has no depth.
+
+    Only ways that go on are looked up: those that have ended all have one key, null, and would meet in one task.
+    """
+    ways = rounds.keep(statements.select("stmt", F.col("parent").alias("up"), F.lit(0).alias("depth")))
+    ended, before = [ways.where("up IS NULL")], -1
     while True:
-        left = ups.where("up IS NOT NULL").count()
+        going = ways.where("up IS NOT NULL")
+        left = going.count()
         if left in (0, before):
-            return ups.where("up IS NULL").select("stmt", "depth")
+            return reduce(DataFrame.unionByName, ended).select("stmt", "depth")
         before = left
-        above = ups.select(F.col("stmt").alias("up"), F.col("up").alias("next"), (F.col("depth") + 1).alias("more"))
+        above = reduce(DataFrame.unionByName, [going, *ended]).select(F.col("stmt").alias("up"), F.col("up").alias("next"), (F.col("depth") + 1).alias("more"))
         # A parent that is no statement ends the way.
-        ups = rounds.keep(ups.join(above, "up", "left").select("stmt", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        ways = rounds.keep(going.join(above, "up", "left").select("stmt", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        ended.append(ways.where("up IS NULL"))
 
 
 def folded(kind: Column, own: Column, children: Column, leaves: bool) -> tuple[Column, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators.frames import framed_origins
 from siftline.operators.statements import key_verdicts, puts_before
+from siftline.sources.state import Rounds
 from siftline.sources.tables import table
 
 
@@ -44,13 +45,14 @@ def q_must_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     above = lines.select("l_orderkey", F.col("n").alias("up"), F.when(F.col("n") == 1, "BLOCK").otherwise(kind).alias("above"))
     first = F.col("n") % 2 == 0
     role = F.when(F.col("above") == "IF", F.when(first, "THEN").otherwise("ELSE")).when(F.col("above") == "TRY", F.when(first, "TRY").otherwise("CATCH"))
-    statements = lines.join(above, ["l_orderkey", "up"], "left").select(
+    rounds = Rounds(spark, "q_must_put")
+    statements = rounds.keep(lines.join(above, ["l_orderkey", "up"], "left").select(
         F.col("l_orderkey").alias("method"), key(F.col("n")).alias("stmt"), F.when(F.col("above").isNotNull(), key(F.col("up"))).alias("parent"), F.col("n").alias("pos"),
         F.when(F.col("n") == 1, "BLOCK").when(role == "CATCH", "CATCH").otherwise(kind).alias("kind"), role.alias("role"),
         F.when(F.col("l_partkey") % 3 < 2, F.array(F.concat(F.lit("k"), (F.col("l_partkey") % 3).cast("string")))).otherwise(F.array().cast("array<string>")).alias("puts"),
-    )
-    last = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"))
-    uses = last.select(F.col("l_orderkey").alias("use"), key(F.col("n")).alias("stmt"), F.explode(F.array(F.lit("k0"), F.lit("k1"))).alias("key"))
+    ))
+    last = statements.groupBy(F.col("method").alias("l_orderkey")).agg(F.max("pos").alias("n"))
+    uses = rounds.keep(last.select(F.col("l_orderkey").alias("use"), key(F.col("n")).alias("stmt"), F.explode(F.array(F.lit("k0"), F.lit("k1"))).alias("key")))
     before = puts_before(statements, uses)
     values = statements.select(F.col("stmt").alias("put"), F.explode("puts").alias("key"), F.when(F.col("stmt") % 2 == 0, "SERVER_SET").otherwise("CLIENT").alias("verdict"))
     carried = uses.select("use", "key", F.lit("BYPASSABLE").alias("verdict"))

@@ -176,3 +176,19 @@ def test_methods_that_fill_a_map(spark):
     carried = spark.createDataFrame([(1, "a", "CLIENT"), (2, "a", "CLIENT"), (3, "b", None)], "use int, key string, verdict string")
     assert {r.use: (r.verdict, r.covered) for r in statements.key_verdicts(before, values, carried).collect()} == {1: ("SERVER_SET", True), 2: ("CLIENT", False), 3: ("UNKNOWN", False)}
     assert statements.always_puts(table.where("false"), True).count() == 0
+
+
+def test_depths_join_no_ended_ways(spark, monkeypatch):
+    # A chain of 10, 50 bodies with a statement each, one that stands in no statement, one that stands in itself with one within it.
+    rows = [(i, i - 1 if i else None) for i in range(10)] + [(100 + i, None) for i in range(50)] + [(200 + i, 100 + i) for i in range(50)] + [(300, 999), (301, 300), (400, 400), (401, 400)]
+    table = spark.createDataFrame(rows, "stmt int, parent int").coalesce(2)
+    join, ended = type(table).join, []
+
+    def spied(self, other, on=None, how=None):
+        ended.append(self.where(f"{on} IS NULL").count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(table), "join", spied)
+    got = {r.stmt: r.depth for r in statements.depths(table, statements.Rounds(spark, "depths")).collect()}
+    assert got == {i: i for i in range(10)} | {100 + i: 0 for i in range(50)} | {200 + i: 1 for i in range(50)} | {300: 0, 301: 1}
+    assert ended and not any(ended)
