@@ -97,8 +97,8 @@ def spread(flows: DataFrame, origins: DataFrame, rounds: Rounds, wanting: DataFr
         return met.select(F.col("dst").alias("node"), "rank", (F.col("dist") + F.col("far")).alias("dist"), F.col("by").alias("via"), nothing.alias("evidence"), *more)
 
     def followed(fresh: DataFrame, parts: list[DataFrame]) -> list[DataFrame]:
-        """``parts``, what is known of the values between, with what comes of fresh rows."""
-        over = edges.unionByName(once(first))
+        """``parts``, what is known of the values between, with what comes of fresh rows. The parts given stay, as others read them."""
+        over, given = edges.unionByName(once(first)), parts
         while True:
             was = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.min(order).alias("was"))
             fresh = rounds.keep(better(passed_on(fresh, over)).join(was, "node", "left").where(F.col("was").isNull() | (order < F.col("was"))).drop("was"))
@@ -107,7 +107,7 @@ def spread(flows: DataFrame, origins: DataFrame, rounds: Rounds, wanting: DataFr
             over, parts = edges, [*parts, fresh]
             if len(parts) > PARTS:
                 whole = rounds.keep(better(reduce(DataFrame.unionByName, parts[:-1])))
-                rounds.drop(*parts[:-1])
+                rounds.drop(*[p for p in parts[:-1] if not any(p is g for g in given)])
                 parts = [whole, fresh]
 
     def along(known: DataFrame, *more: str) -> DataFrame:

@@ -78,6 +78,72 @@ def test_random_programs(spark, seed):
     assert got == slow(flows, returns, arguments, origins)
 
 
+def verdicts(spark, flows, returns, arguments, origins):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(1)
+    tables = make(flows, "dst string, src string"), make(returns, "dst string, src string, site string"), make(arguments, "param string, src string, site string"), make(origins, "node string, verdict string, evidence string")
+    rows = frames.framed_origins(*tables, steps=False).collect()
+    assert len(rows) == len({r.node for r in rows})
+    return {r.node: r.verdict for r in rows}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_verdicts_without_steps(spark, seed):
+    # Methods call those before them by a variable, which some return, give on or leave; values that nothing takes, at sites with two returns; parameters that nobody gives.
+    rng = random.Random(seed)
+    flows, returns, arguments, origins = [], [], [], [("b0", "CLIENT", None), ("b1", "SERVER_SET", None), ("unused", "SESSION_OVERWRITE", None)]
+    for m in range(12):
+        params = [f"m{m}.p{i}" for i in range(m % 3)]
+        names = [f"m{m}.v{i}" for i in range(8)]
+        for i, v in enumerate(names):
+            have, kind = params + names[:i] + ["b0", "b1", "b2"], rng.randrange(6)
+            if kind < 3 and m:
+                callee, site = rng.randrange(m), f"c{m}.{i}"
+                returns += [(v, f"m{callee}.r", site)] + [(v, f"m{callee}.v1", site)] * (kind == 1)
+                arguments += [(f"m{callee}.p{k}", rng.choice(have), site) for k in range(callee % 3)]
+            elif kind == 3:
+                flows += [(v, rng.choice(have)), (v, rng.choice(have))]
+            elif kind == 4:
+                flows.append((v, rng.choice(have)))
+            elif rng.random() < 0.5:
+                origins.append((v, rng.choice(["SERVER_SET", "SESSION_OVERWRITE", "CLIENT", "UNKNOWN"]), None))
+        flows += [(f"m{m}.r", v) for v in rng.sample(params + names, 2)]
+        if params and rng.random() < 0.3:
+            origins.append((params[0], "CLIENT", "handler"))
+    called = {p for p, _, _ in arguments}
+    flows = [(d, s) for d, s in flows if ".p" not in s or s in called]
+    want = slow(flows, returns, arguments, origins)
+    got = verdicts(spark, flows, returns, arguments, origins)
+    assert got == want and len(set(got.values())) > 2
+
+
+def test_verdicts_by_recursion_nulls_and_repeats(spark):
+    flows, returns = [("f.r", "f.p"), ("f.r", "f.x"), ("h.r", "h.p"), ("q", "lost"), (None, "safe"), ("w", None)], [("f.x", "f.r", "s0"), ("y", "f.r", "s1"), ("z", "h.r", "s2"), ("o", None, "s4"), (None, "f.r", "s5"), ("e", "f.r", "s6")] * 2
+    arguments = [("f.p", "f.p", "s0"), ("f.p", "safe", "s1"), ("h.p", "safe", "s2"), ("g.p", "g.p", "s3"), ("f.p", None, "s7"), (None, "n", "s8")] * 2
+    origins = [("safe", "SESSION_OVERWRITE", "session"), ("h.p", "CLIENT", "handler"), ("odd", None, None)]
+    got = verdicts(spark, flows, returns, arguments, origins)
+    assert got == {"f.r": "SESSION_OVERWRITE", "f.p": "SESSION_OVERWRITE", "f.x": "SESSION_OVERWRITE", "y": "SESSION_OVERWRITE", "z": "SESSION_OVERWRITE", "safe": "SESSION_OVERWRITE", "h.p": "CLIENT", "h.r": "CLIENT"} | dict.fromkeys(["q", "lost", "g.p", "o", "e", "n", "odd"], "UNKNOWN")
+
+
+def test_rounds_have_no_values_that_nothing_takes(spark, monkeypatch):
+    # Each call more is written once, as its argument's origin; it was written over 10 times.
+    keep, wrote = frames.Rounds.keep, []
+
+    def counted(self, df):
+        kept = keep(self, df)
+        wrote.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(frames.Rounds, "keep", counted)
+
+    def rows(n):
+        wrote.clear()
+        got = verdicts(spark, [("h.r", "h.p")], [(f"x{i}", "h.r", f"s{i}") for i in range(n)], [("h.p", f"a{i}", f"s{i}") for i in range(n)], [(f"a{i}", ["CLIENT", "SERVER_SET"][i % 2], None) for i in range(n)])
+        assert got == {f"{k}{i}": ["CLIENT", "SERVER_SET"][i % 2] for i in range(n) for k in "ax"} | {"h.p": "CLIENT", "h.r": "CLIENT"}
+        return sum(wrote)
+
+    assert rows(120) - rows(20) == 100
+
+
 KINDS = ["BLOCK", "IF", "TRY", "DO", "LABELED", "SYNCHRONIZED", "FOR", "WHILE", "SWITCH", "LAMBDA", "AND", "OTHER", "RETURN", "THROW", "EXPRESSION", "EXPRESSION", "EXPRESSION"]
 
 
