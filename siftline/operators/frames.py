@@ -141,9 +141,9 @@ def framed_verdicts(flows: DataFrame, returns: DataFrame, arguments: DataFrame,
     inside = spread(edges.unionByName(texts(returns, "dst", "src").select("dst", "src")), begin.join(params, "node", "left_anti"), rounds, nodes.join(bound, "node", "left_anti"))
     # A parameter's own origin stands for all its callers'.
     free = params.join(begin, "node", "left_anti")
-    brought = texts(passed.where("src IS NULL").groupBy(node("param")).agg(F.max("rank").alias("rank")), "node").join(free, "node", "left_semi").select("node", "rank", nothing)
-    called = texts(passed.where("src IS NOT NULL").select(F.col("param").alias("dst"), "src").distinct(), "dst", "src").join(free.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    settled = union(inside.select("node", "rank", "evidence"), begin.join(params, "node", "left_semi"), rounds.keep(brought))
+    heard = rounds.keep(texts(passed.groupBy("param", "src").agg(F.max("rank").alias("rank")), "param", "src").join(free.withColumnRenamed("node", "param"), "param", "left_semi"))
+    brought, called = heard.where("src IS NULL").select(node("param"), "rank", nothing), heard.where("src IS NOT NULL").select(F.col("param").alias("dst"), "src")
+    settled = union(inside.select("node", "rank", "evidence"), begin.join(params, "node", "left_semi"), brought)
     found = typed(spread(edges.unionByName(called), settled, rounds, nodes).select("node", "rank"), "node")
 
     inside, taken = typed(inside.select("node", "rank"), "node"), typed(taken, "node", "param").withColumnRenamed("node", "src")
